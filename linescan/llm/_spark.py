@@ -79,3 +79,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def tokenizer_file(name: str) -> str:
     """A vocabulary file of LINESCAN_TOKENIZERS, by default /opt/tokenizers."""
     return os.path.join(os.environ.get("LINESCAN_TOKENIZERS", "/opt/tokenizers"), name)
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of the size of df, which for a scan is that of its files; only for sizing partitions."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def partitions_for(df: DataFrame, factor: float, each: int = 32 << 20) -> int:
+    """How many partitions of about each bytes hold factor times the size of df."""
+    spark = df.sparkSession
+    wanted = int(min(plan_bytes(df), 1 << 60) * factor / each) + 1
+    return max(wanted, spark.sparkContext.defaultParallelism)
+
+
+def with_long_id(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Only the columns doc_id BIGINT and text, whatever they are called and whatever else there is."""
+    return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
