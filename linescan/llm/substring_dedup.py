@@ -21,7 +21,8 @@ from ._spark import partitions_for, read, with_long_id
 
 K = 50
 M = 8
-CHUNK = 6 << 20
+CHUNK = 2 << 20
+BUCKETS = 4  # in a partition: only one is in memory
 NULL_ID = -(1 << 63)
 
 
@@ -117,11 +118,11 @@ def _word_numbers(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     like = sample[number]
     size = end - start
     same = size == size[like]
-    for lo in range(0, len(h), 1 << 20):
-        s = size[lo : lo + (1 << 20)] * same[lo : lo + (1 << 20)]
+    for lo in range(0, len(h), 1 << 17):
+        s = size[lo : lo + (1 << 17)] * same[lo : lo + (1 << 17)]
         within = X.spans(s)
-        a = data[np.repeat(start[lo : lo + (1 << 20)], s) + within]
-        b = data[np.repeat(start[like[lo : lo + (1 << 20)]], s) + within]
+        a = data[np.repeat(start[lo : lo + (1 << 17)], s) + within]
+        b = data[np.repeat(start[like[lo : lo + (1 << 17)]], s) + within]
         if (a != b).any():
             same[lo + np.repeat(np.arange(len(s)), s)[a != b]] = False
     if not same.all():  # two words with one hash: number those by their bytes
@@ -214,10 +215,10 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M, doc_id: str = "doc_i
         raise ValueError("1 <= m <= k")
     own = with_long_id(docs, doc_id, text)
     # a packed string has about 3 times the words of its text; files about half the bytes of the texts
-    buckets = partitions_for(own, 2.0 * (1 + k / max(1, (k - m + 2) / 2)))
-    packed = own.mapInArrow(_packed(k, m, buckets), "bucket int, docs binary, places binary, windows binary, words binary")
+    parts = partitions_for(own, 2.0 * (1 + k / max(1, (k - m + 2) / 2)))
+    packed = own.mapInArrow(_packed(k, m, parts * BUCKETS), "bucket int, docs binary, places binary, windows binary, words binary")
     runs = (
-        packed.repartition(buckets, "bucket")
+        packed.repartition(parts, "bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(_counted(k), "doc_id bigint, place int, windows int, later int, copies bigint")
     )
