@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import quality, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_substring_dedup": substring_dedup.op2_substring_dedup}
+    return {
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+        "op8_quality_classifier": quality.op8_quality_classifier,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
