@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, substring_dedup
+from . import decontaminate, ngram_join, quality, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+        "op10_decontamination": decontaminate.op10_decontamination,
+        "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
         "op8_quality_classifier": quality.op8_quality_classifier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": substring_dedup.SQL}
+    return {"op2_substring_dedup": substring_dedup.SQL, "op3_ngram_jaccard_join": ngram_join.SQL, "op10_decontamination": decontaminate.SQL}
