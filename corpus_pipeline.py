@@ -1,12 +1,55 @@
-"""The corpus pipeline: stages that each work on what the stage before kept."""
+"""The corpus pipeline: stages that each work on what the stage before kept.
+
+quality classifier -> n-gram Jaccard join -> benchmark decontamination -> mixing -> token blocks. Every stage is
+a function of (spark, docs, sf_dir); what it returns is written as Parquet and read again as the next one's docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from linescan.llm import decontaminate, mixing, ngram_join, quality, tokens
+from linescan.llm._spark import read, saved
+
+
+def without_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality classifier rejects."""
+    return quality.filtered(docs, read(spark, sf_dir, "labels"))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first document of each group of near and exact copies."""
+    return ngram_join.without_copies(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that overlap with a benchmark item."""
+    return decontaminate.without_overlaps(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Chooses documents so that the sources' tokens have their target weights."""
+    return mixing.mixed(docs)
+
+
+def packed_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes the documents as blocks of token ids."""
+    return tokens.token_blocks(docs)
+
+
+STAGES = [
+    ("quality classifier", without_rejected),
+    ("n-gram Jaccard join", without_near_copies),
+    ("benchmark decontamination", without_benchmark),
+    ("mixing sources to target weights", mixed_sources),
+    ("token-ID / binary output", packed_tokens),
+]
+#: SQL can express neither the classifier nor the tokens; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), "stage")
+    return saved(STAGES[-1][1](spark, docs, sf_dir), "stage")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, ngram_join, quality, substring_dedup
+from . import decontaminate, mixing, ngram_join, quality, substring_dedup, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op10_decontamination": decontaminate.op10_decontamination,
         "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
+        "op7_mixing": mixing.op7_mixing,
+        "op9_token_blocks": tokens.op9_token_blocks,
         "op8_quality_classifier": quality.op8_quality_classifier,
     }
 
