@@ -66,7 +66,7 @@ def plan(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int) -> np.
     total = int((lengths * counts).sum())
     if total <= budget:
         return counts.copy()
-    order = np.argsort(X.mix(lengths.astype(np.uint64) + np.uint64(seed) * X.COEF[300]), kind="stable")
+    order = np.argsort(X.mix(lengths.astype(np.uint64) + np.uint64(seed * int(X.COEF[300]) % 2**64)), kind="stable")
     size, have = lengths[order], counts[order]
     share = np.cumsum(have) * (budget / total)
     take = np.minimum(np.diff(np.floor(share), prepend=0).astype(np.int64), have)
