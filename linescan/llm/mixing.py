@@ -23,8 +23,8 @@ from ._spark import join_narrow, read, saved, tokenizer_file
 
 SEED = 23
 TEMPER = 0.7  # without weights, a source's weight is its share of the tokens to this power
-#: The rest that dynamic programming fits, in multiples of the source's longest document.
-REST = 2
+#: The rest that dynamic programming fits, in multiples of the source's longest document; more where it can't be.
+RESTS = (2, 8, 32)
 
 
 def fit_rest(lengths: np.ndarray, counts: np.ndarray, rest: int) -> np.ndarray:
@@ -68,24 +68,41 @@ def plan(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int) -> np.
         return counts.copy()
     order = np.argsort(X.mix(lengths.astype(np.uint64) + np.uint64(seed * int(X.COEF[300]) % 2**64)), kind="stable")
     size, have = lengths[order], counts[order]
-    share = np.cumsum(have) * (budget / total)
+    goal = budget - budget % int(np.gcd.reduce(size[have > 0]))
+    best = np.zeros_like(have)
+    for most in RESTS:
+        take = _filled(size, have, budget, most * int(size.max()))
+        take += fit_rest(size, have - take, budget - int((take * size).sum()))
+        if not best.any() or (take * size).sum() > (best * size).sum():
+            best = take
+        if (best * size).sum() == goal:
+            break
+    out = np.empty_like(best)
+    out[order] = best
+    return out
+
+
+def _filled(size: np.ndarray, have: np.ndarray, budget: int, most: int) -> np.ndarray:
+    """In proportion to the counts, but so that the rest of the budget is about most, or all of it where it is less."""
+    total = int((size * have).sum())
+    share = np.cumsum(have) * (max(0, budget - most) / total)
     take = np.minimum(np.diff(np.floor(share), prepend=0).astype(np.int64), have)
     take[size == 0] = have[size == 0]
-    rest = budget - int((take * size).sum())
-    most = REST * int(size.max())
-    for i in range(len(size)):  # in seeded order, until the rest is small
-        if rest < 0 and size[i]:
-            less = min(int(take[i]), -(rest // int(size[i])))
-            take[i] -= less
-            rest += less * int(size[i])
-        elif rest > most and size[i]:
-            more = min(int(have[i] - take[i]), (rest - most) // int(size[i]))
-            take[i] += more
-            rest -= more * int(size[i])
-    take += fit_rest(size, have - take, rest)
-    out = np.empty_like(take)
-    out[order] = take
-    return out
+    over = int((take * size).sum()) - budget
+    for i in np.flatnonzero(size):
+        if over <= 0:
+            break
+        less = min(int(take[i]), -(-over // int(size[i])))
+        take[i] -= less
+        over -= less * int(size[i])
+    more = -over - 2 * most
+    for i in np.flatnonzero(size):
+        if more <= 0:
+            break
+        add = min(int(have[i] - take[i]), more // int(size[i]))
+        take[i] += add
+        more -= add * int(size[i])
+    return take
 
 
 def _lengths(docs: DataFrame, path: str) -> DataFrame:
