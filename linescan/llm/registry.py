@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, ngram_join, quality, substring_dedup, tokens, warc_zip
+from . import chat_template, decontaminate, mixing, ngram_join, quality, substring_dedup, tokens, warc_zip
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_chat_template": chat_template.op4_chat_template,
         "op1_warc_zip": warc_zip.op1_warc_zip,
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op10_decontamination": decontaminate.op10_decontamination,
@@ -22,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_zip": warc_zip.SQL, "op2_substring_dedup": substring_dedup.SQL, "op3_ngram_jaccard_join": ngram_join.SQL, "op10_decontamination": decontaminate.SQL}
+    return {"op1_warc_zip": warc_zip.SQL, "op4_chat_template": chat_template.SQL, "op2_substring_dedup": substring_dedup.SQL, "op3_ngram_jaccard_join": ngram_join.SQL, "op10_decontamination": decontaminate.SQL}
