@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat_template, decontaminate, mixing, ngram_join, quality, substring_dedup, tokens, warc_zip
+from . import ann, chat_template, decontaminate, mixing, ngram_join, pii, quality, substring_dedup, tokens, warc_zip
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_chat_template": chat_template.op4_chat_template,
         "op5_learned_partitions": ann.op5_learned_partitions,
+        "op6_pii_crf": pii.op6_pii_crf,
         "op1_warc_zip": warc_zip.op1_warc_zip,
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op10_decontamination": decontaminate.op10_decontamination,
