@@ -7,10 +7,19 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _text as X
+
+FILTER_BYTES = 32 << 20  # of a Bloom filter that is sent to all tasks, at most
+FILTER_BITS = 12  # for an id
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: spark.checkpoint.dir, or, where that is unset (tests), one of our own."""
@@ -96,3 +105,55 @@ def partitions_for(df: DataFrame, factor: float, each: int = 32 << 20) -> int:
 def with_long_id(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Only the columns doc_id BIGINT and text, whatever they are called and whatever else there is."""
     return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+
+
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Three bits of a Bloom filter for each id."""
+    h = X.mix(ids.view(np.uint64) + X.COEF[205])
+    return (h + np.arange(3, dtype=np.uint64)[:, None] * (X.mix(h) | np.uint64(1))) % np.uint64(bits)
+
+
+def may_hold(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether a Bloom filter may hold each id; never False for one that it holds."""
+    place = _places(ids, len(words) * 64)
+    return (words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).all(0)
+
+
+def id_filter(ids: DataFrame) -> np.ndarray | None:
+    """A Bloom filter of a saved table's BIGINT column, or None where it would be larger than FILTER_BYTES."""
+    words = -(-ids.count() * FILTER_BITS // 64) + 1
+    if words * 8 > FILTER_BYTES:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = np.unique(_places(batch.column(0).to_numpy(), words * 64))
+            word, bit = (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63))
+            head = np.flatnonzero(np.diff(word, prepend=-1))
+            merged = np.bitwise_or.reduceat(bit, head) if len(head) else bit
+            yield pa.RecordBatch.from_arrays([pa.array(word[head]), pa.array(merged.view(np.int64))], ["word", "bits"])
+
+    found = ids.mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(words, np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't in ids, a saved table of doc_id BIGINT without nulls; null ids stay.
+
+    Rows that a Bloom filter of the ids rules out stay where they are; only the others are joined with the ids. Where
+    the filter would be too large to send, all rows are joined.
+    """
+    words = id_filter(ids)
+    if words is None:
+        return join_narrow(docs, ids, "doc_id", "left_anti", 16)
+    held = docs.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def maybe(column: pd.Series) -> pd.Series:
+        known = column.notna()
+        return pd.Series(may_hold(held.value, column.fillna(0).to_numpy(np.int64)) & known.to_numpy())
+
+    test = maybe(F.col("doc_id").cast("bigint"))
+    return docs.where(~test).unionAll(join_narrow(docs.where(test), ids, "doc_id", "left_anti", 16))
