@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import _text as X
 from . import tokens
-from ._spark import join_narrow, read, saved, tokenizer_file
+from ._spark import read, saved, tokenizer_file, without_ids
 
 SEED = 23
 TEMPER = 0.7  # without weights, a source's weight is its share of the tokens to this power
@@ -154,7 +154,9 @@ def mixture(docs: DataFrame, weights: DataFrame | None = None, budget: int | Non
 def mixed(docs: DataFrame, weights: DataFrame | None = None, budget: int | None = None, seed: int = SEED, vocabulary: str | None = None) -> DataFrame:
     """docs, all columns, with only the chosen documents; as mixture()."""
     chosen = saved(mixture(docs, weights, budget, seed, vocabulary).select("doc_id"), "chosen")
-    return join_narrow(docs, chosen, "doc_id", "left_semi", 16)
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    rest = saved(ids.join(chosen, "doc_id", "left_anti"), "rest")
+    return without_ids(docs.where("doc_id IS NOT NULL"), rest)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
