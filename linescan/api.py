@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from linescan.config import SearchConfig
+from linescan.errors import InputMissing, NoPermission
 from linescan.operators.ignore import Rule
 from linescan.operators.search import search
 from linescan.operators.stats import search_stats
@@ -31,6 +33,10 @@ def image(spark: SparkSession, path: str, config: SearchConfig, root: str = "/",
 
 
 def _loaded(spark: SparkSession, name: str, path: str, config: SearchConfig, prune: bool):
+    if not os.path.exists(path):  # planning happens in another process, whose errors arrive wrapped
+        raise InputMissing(path)
+    if not os.access(path, os.R_OK):
+        raise NoPermission(path)
     reader = spark.read.format(name).option("path", path).option("all_dirs", str(not prune))
     if config.size_filter:
         reader = reader.option("max_bytes", str(config.max_file_bytes))
