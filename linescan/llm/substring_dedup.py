@@ -218,7 +218,7 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M, doc_id: str = "doc_i
     parts = partitions_for(own, 2.0 * (1 + k / max(1, (k - m + 2) / 2)))
     packed = own.mapInArrow(_packed(k, m, parts * BUCKETS), "bucket int, docs binary, places binary, windows binary, words binary")
     runs = (
-        packed.repartition(parts, "bucket")
+        packed.repartitionById(parts, "bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(_counted(k), "doc_id bigint, place int, windows int, later int, copies bigint")
     )
