@@ -20,12 +20,13 @@ from . import _text as X
 from ._spark import read, with_long_id
 
 SPAN = 12
-#: Positions of a window that a seed compares.
+#: Positions of a window that a seed compares. The first fits 8 equal words in a row, the others texts of which every
+#: 4th, 5th, or 6th to 8th word was changed.
 MASKS = (
     (0, 1, 2, 3, 4, 5, 6, 7),
-    (0, 1, 3, 4, 6, 8, 10, 11),
-    (0, 2, 3, 5, 7, 8, 10, 11),
-    (0, 1, 2, 5, 6, 9, 10, 11),
+    (0, 1, 2, 4, 5, 6, 8, 9),
+    (0, 1, 2, 3, 5, 6, 7, 8),
+    (0, 1, 2, 3, 4, 6, 7, 8),
 )
 MIN_WORDS = 12
 MIN_SHARE = 0.75
