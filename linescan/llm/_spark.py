@@ -90,16 +90,22 @@ def tokenizer_file(name: str) -> str:
     return os.path.join(os.environ.get("LINESCAN_TOKENIZERS", "/opt/tokenizers"), name)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of df, which for a scan is that of its files; only for sizing partitions."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def file_bytes(docs: DataFrame) -> int:
+    """About the size that docs(doc_id, text) has or would have as files; only for sizing partitions.
 
+    That of its files where it is a scan of files; otherwise half the bytes of its texts, which are counted.
+    """
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    if leaves.size() == 1 and leaves.apply(0).getClass().getSimpleName() == "LogicalRelation":
+        return int(str(plan.stats().sizeInBytes()))
+    found = docs.agg(F.sum(F.octet_length(docs.columns[-1]))).first()[0] or 0
+    return found // 2
 
-def partitions_for(df: DataFrame, factor: float, each: int = 32 << 20) -> int:
-    """How many partitions of about each bytes hold factor times the size of df."""
-    spark = df.sparkSession
-    wanted = int(min(plan_bytes(df), 1 << 60) * factor / each) + 1
-    return max(wanted, spark.sparkContext.defaultParallelism)
+
+def partitions_for(docs: DataFrame, factor: float, each: int = 32 << 20) -> int:
+    """How many partitions of about each bytes hold factor times the size of docs as files."""
+    return max(int(file_bytes(docs) * factor / each) + 1, docs.sparkSession.sparkContext.defaultParallelism)
 
 
 def with_long_id(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
