@@ -64,6 +64,8 @@ class Pattern:
         """
         if self.kind != "regex" and not self.literals:
             return F.lit(None).cast("array<struct<start:int,end:int>>")
+        if self.kind == "literal" and self.literals[0]:
+            return _literal_spans(line, self.literals[0])
         clean = F.translate(line, OPEN + CLOSE, STAND_IN * 2)  # of equal length in bytes
         marked = F.regexp_replace(clean, F.lit(self.regex), F.lit(f"{OPEN}$0{CLOSE}"))
         length = F.transform(F.split(marked, f"[{OPEN}{CLOSE}]", -1), F.octet_length)
@@ -82,6 +84,20 @@ class Pattern:
         return F.aggregate(length, first, add, lambda s: s["spans"])
 
 
+def _literal_spans(line: Column, literal: str) -> Column:
+    """As spans(), from the lengths of what is between the matches alone."""
+    n = len(literal.encode())
+
+    def add(state: Column, between: Column) -> Column:
+        start = state["at"] + F.octet_length(between)
+        one = F.array(F.struct(start.alias("start"), (start + n).alias("end")))
+        return F.struct((start + n).alias("at"), F.concat(state["spans"], one).alias("spans"))
+
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    gaps = F.split(line, quoted(literal), -1)  # one more than there are matches
+    return F.aggregate(gaps, first, add, lambda s: F.slice(s["spans"], 1, F.size(s["spans"]) - 1))
+
+
 def _any(tests: list[Column]) -> Column:
     out = tests[0]
     for x in tests[1:]:

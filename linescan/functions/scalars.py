@@ -10,6 +10,7 @@ BINARY_EXTENSIONS = ("7z", "a", "bin", "class", "dll", "exe", "gif", "gz", "jpeg
 GRAM_FACTOR = 0x9E3779B9
 PROBE_CONTROL = 512
 MOST_CONTROL = 51
+_ANY_CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 _CONTROL = "".join(chr(i) for i in [*range(1, 9), 11, 12, *range(14, 32), 127])
 
 
@@ -51,6 +52,11 @@ def in_skipped_dir(path: Column) -> Column:
     return F.arrays_overlap(components(path), F.array(*map(F.lit, SKIPPED_DIRS)))
 
 
+def is_binary_text(text: Column) -> Column:
+    """is_binary() of a STRING column; texts without any control character, the most, are told by one cheap test."""
+    return F.substring(text, 1, 4096).rlike(_ANY_CONTROL) & is_binary(text.cast("binary"))
+
+
 def is_binary(content: Column) -> Column:
     """A NUL in the first 4096 bytes, or more than 51 control characters in the first 512; for BINARY columns."""
     head = F.decode(F.substring(content, 1, 4096), "ISO-8859-1")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linescan.config import SearchConfig
-from linescan.functions.scalars import BINARY_EXTENSIONS, extension, file_name, is_binary
+from linescan.functions.scalars import BINARY_EXTENSIONS, extension, file_name, is_binary, is_binary_text
 from linescan.operators.ignore import Rule, common_dir, ignored, pruned
 
 SEARCHED = "searched"
@@ -18,6 +18,10 @@ def size_of(files: DataFrame) -> Column:
     return F.col("size") if "size" in files.columns else F.coalesce(F.octet_length(F.col("text")).cast("bigint"), F.lit(0))
 
 
+def _probe(files: DataFrame) -> Column:
+    return is_binary_text(F.col("text")) if dict(files.dtypes)["text"] == "string" else is_binary(F.col("text"))
+
+
 def content(files: DataFrame) -> Column:
     return F.col("text").cast("binary") if dict(files.dtypes)["text"] == "string" else F.col("text")
 
@@ -42,7 +46,7 @@ def with_status(files: DataFrame, config: SearchConfig, rules: list[Rule] | None
         .when(ext.isin(*BINARY_EXTENSIONS) if config.binary_filter else never, "binary_ext")
         .when(ignored(by_rules, path, False, name), "ignored")
         .when(F.col("by_index").isNotNull() if skip is not None else never, "by_index")
-        .when(is_binary(content(files)) if config.binary_filter else never, "binary_probe")
+        .when(_probe(files) if config.binary_filter else never, "binary_probe")
         .otherwise(SEARCHED)
     )
     out = files.withColumn("status", status)

@@ -50,16 +50,18 @@ def search(
     too large to broadcast. Where ranges aren't wanted, they aren't computed.
     """
     pattern = compiled(config)
-    chosen = with_status(files, config, rules, skip, root).where(F.col("status") == SEARCHED)
+    hopeful = files.where(pattern.may_match(as_text(files)))  # the cheapest test of a text, so before the filters
+    chosen = with_status(hopeful, config, rules, skip, root).where(F.col("status") == SEARCHED)
     keep = ["path"] if keep is None else keep
-    found = matching_lines(chosen, pattern, keep)
+    found = lines(chosen, keep).where(pattern.matches(F.col("line")))
     columns = [*keep, "line_num", F.col("line").alias("text")]
     return found.select(*columns, pattern.spans(F.col("line")).alias("ranges")) if ranges else found.select(*columns)
 
 
 def span_rows(found: DataFrame) -> DataFrame:
     """A row for each span of search()'s matches."""
-    spread = found.select("path", "line_num", F.explode("ranges").alias("span"))
+    # the outer form, since the plain one tests the ranges for emptiness first, which computes them twice
+    spread = found.select("path", "line_num", F.explode_outer("ranges").alias("span")).where("span IS NOT NULL")
     return spread.select("path", "line_num", F.col("span.start").alias("start_byte"), F.col("span.end").alias("end_byte"))
 
 
