@@ -22,10 +22,12 @@ FILTER_BITS = 12  # for an id
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or, where that is unset (tests), one of our own."""
+    """The folder every executor can reach: spark.checkpoint.dir, or, where that is unset in a local session, one of our own."""
     sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir")
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("on a cluster, spark.checkpoint.dir has to name a folder that all executors share")
         at = getattr(sc, "_linescan_dir", None)
         if at is None:
             at = sc._linescan_dir = "file://" + tempfile.mkdtemp(prefix="linescan-")
@@ -98,7 +100,7 @@ def file_bytes(docs: DataFrame) -> int:
     plan = docs._jdf.queryExecution().optimizedPlan()
     leaves = plan.collectLeaves()
     if leaves.size() == 1 and leaves.apply(0).getClass().getSimpleName() == "LogicalRelation":
-        return int(str(plan.stats().sizeInBytes()))
+        return int(str(leaves.apply(0).stats().sizeInBytes()))
     found = docs.agg(F.sum(F.octet_length(docs.columns[-1]))).first()[0] or 0
     return found // 2
 

@@ -1,7 +1,7 @@
 import pytest
 
 import corpus_pipeline as P
-from linescan.llm import decontaminate, quality, tokens
+from linescan.llm import decontaminate, ngram_join, quality, tokens
 from linescan.llm._spark import read, tokenizer_file
 from tests.llm.cases import words
 from tests.llm.test_ngram_join import brute as groups_of
@@ -36,7 +36,7 @@ def test_quality_stage(spark, small, stages):
 
 def test_copies_stage(stages):
     rows = [(r.doc_id, r.text) for r in stages[1].collect()]
-    drop = {i for g in groups_of(rows, 3, 0.7) for i in g[1:]}
+    drop = {i for g in groups_of(rows, ngram_join.N, ngram_join.THRESHOLD) for i in g[1:]}
     assert ids(stages[2]) == sorted(i for i, _ in rows if i not in drop)
 
 
