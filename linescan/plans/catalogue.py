@@ -294,9 +294,11 @@ def directory_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A folder all executors reach: below spark.checkpoint.dir, or a temporary one of a local session."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return f"{shared.rstrip('/')}/linescan/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("on a cluster, spark.checkpoint.dir has to name a folder that all executors share")
     import atexit
 
     at = tempfile.mkdtemp(prefix="linescan-")
