@@ -24,7 +24,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that overlap with a benchmark item."""
-    return decontaminate.without_overlaps(docs, read(spark, sf_dir, "benchmark"))
+    return decontaminate.without_overlaps(docs, read(spark, sf_dir, "benchmark"), whole=True)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

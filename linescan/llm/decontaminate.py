@@ -4,6 +4,10 @@ A seed is a window of SPAN words of which a fixed mask ignores some, so that tex
 exchanged. The masked windows of the test items are joined with those of the training documents. The hits of a
 document and an item with one offset between them span an overlap, which counts if it is long enough and enough
 of its words, position by position, are equal.
+
+No choice of masks meets every such overlap, so what they miss is sought by runs of RUN equal words in a row. A
+stretch of n words with at most n / 4 unequal ones has n / 4 + 1 runs at most, and so, from 9 words on, one of 3 words at
+least: no stretch that is long and equal enough is without a run. Around a run the words are compared one by one.
 """
 
 from __future__ import annotations
@@ -30,6 +34,11 @@ MASKS = (
 )
 MIN_WORDS = 12
 MIN_SHARE = 0.75
+RUN = 3
+#: A shortest stretch that counts has fewer than 2 * MIN_WORDS words, and a run of MIN_WORDS is one: seen from the
+#: first word of a run, the words of a stretch that has some of the run lie this far before and after.
+BEFORE, AFTER = 2 * MIN_WORDS, 3 * MIN_WORDS
+BLOCK = 1 << 20  # of pairs of runs that are compared at once
 PIECE_BYTES = 8 << 20  # of test texts that a task holds at once
 FILTER_BITS = 22
 CHUNK = 2 << 20
@@ -46,6 +55,23 @@ class Items:
     item: np.ndarray
     place: np.ndarray
     filter: np.ndarray
+    run_key: np.ndarray
+    run_at: np.ndarray
+    run_filter: np.ndarray
+
+
+def _filter(key: np.ndarray) -> np.ndarray:
+    seen = np.zeros(1 << FILTER_BITS, bool)
+    seen[(key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+    return seen
+
+
+def _runs(words: X.Words, h: np.ndarray, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and first words of all runs of RUN words of a text; within: a filter that keys have to pass."""
+    key = X.grams(h, RUN)
+    at = np.arange(len(key)) if within is None else np.flatnonzero(within[(key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+    at = at[at + RUN <= words.first[words.doc[at] + 1]]
+    return key[at], at
 
 
 def _keys(h: np.ndarray, mask: int) -> np.ndarray:
@@ -68,18 +94,26 @@ def _items(rows: list) -> Items:
             place.append(at - words.first[words.doc[at]])
     key, item, place = map(np.concatenate, (key, item, place))
     order = np.argsort(key, kind="stable")
-    seen = np.zeros(1 << FILTER_BITS, bool)
-    seen[(key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-    return Items([r.item_id for r in rows], h, words.first, key[order], item[order], place[order], seen)
+    run_key, run_at = _runs(words, h)
+    by = np.argsort(run_key, kind="stable")
+    return Items([r.item_id for r in rows], h, words.first, key[order], item[order], place[order], _filter(key), run_key[by], run_at[by], _filter(run_key))
 
 
-def _overlaps(texts: pa.Array, items: Items) -> tuple[np.ndarray, ...]:
+def _overlaps(texts: pa.Array, items: Items, whole: bool) -> tuple[np.ndarray, ...]:
     """Row, item, first word in the text and in the item, words and equal words of each overlap that counts."""
     words = X.split_words(texts)
     h = words.hashes()
-    none = tuple(np.zeros(0, np.int64) for _ in range(6))
     if len(h) < SPAN or not len(items.key):
-        return none
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
+    spans = _masked(words, h, items)
+    size, equal = spans[4:]
+    good = (size >= MIN_WORDS) & (equal >= MIN_SHARE * size)
+    found = tuple(v[good] for v in spans)
+    return tuple(map(np.concatenate, zip(found, _missed(words, h, items, spans), strict=True))) if whole else found
+
+
+def _masked(words: X.Words, h: np.ndarray, items: Items) -> tuple[np.ndarray, ...]:
+    """As _overlaps(), from the first to the last hit of masks on each offset, whether it counts or not."""
     found_at, found_key = [], []
     for mask in range(len(MASKS)):
         key = _keys(h, mask)
@@ -92,7 +126,7 @@ def _overlaps(texts: pa.Array, items: Items) -> tuple[np.ndarray, ...]:
     to = np.repeat(lo, hi - lo) + X.spans(hi - lo)
     at = np.repeat(at, hi - lo)
     if not len(at):
-        return none
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     item, place = items.item[to], items.place[to]
     offset = at - place
     order = np.lexsort((place, offset, item, words.doc[at]))
@@ -111,11 +145,69 @@ def _overlaps(texts: pa.Array, items: Items) -> tuple[np.ndarray, ...]:
         x = np.repeat(offset[a : a + step] + first[a : a + step], s) + within
         y = np.repeat(items.first[item[a : a + step]] + first[a : a + step], s) + within
         equal[a : a + step] = np.add.reduceat(h[x] == items.words[y], np.cumsum(s) - s)
-    good = (size >= MIN_WORDS) & (equal >= MIN_SHARE * size)
-    row, item, offset, first, size, equal = (v[good] for v in (row, item, offset, first, size, equal))
     return row, item, offset + first - words.first[row], first, size, equal
 
 
+def _missed(words: X.Words, h: np.ndarray, items: Items, spans: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """As _overlaps(), of offsets on which the masks have no hit."""
+    key, at = _runs(words, h, items.run_filter)
+    lo, hi = np.searchsorted(items.run_key, key), np.searchsorted(items.run_key, key, "right")
+    ends = np.cumsum(hi - lo)
+    found = set()
+    a = 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BLOCK, "right")))
+        n = (hi - lo)[a:b]
+        x, y = np.repeat(at[a:b], n), items.run_at[np.repeat(lo[a:b], n) + X.spans(n)]
+        a = b
+        row, item = words.doc[x], np.searchsorted(items.first, y, "right") - 1
+        before = np.minimum(x - words.first[row], y - items.first[item])
+        after = np.minimum(words.first[row + 1] - x, items.first[item + 1] - y)
+        # one word before, too: the run is part of a longer one
+        own = np.flatnonzero((before == 0) | (h[x - 1] != items.words[y - 1]))
+        x, y, row, item, before, after = (v[own] for v in (x, y, row, item, before, after))
+        equal = np.zeros(len(x), np.int64)
+        for t in range(-BEFORE, AFTER):
+            there = np.flatnonzero((-t <= before) & (t < after))
+            equal[there] += h[x[there] + t] == items.words[y[there] + t]
+        near = np.flatnonzero(equal >= MIN_SHARE * MIN_WORDS)
+        place = y[near] - items.first[item[near]]
+        found.update(zip(row[near].tolist(), item[near].tolist(), (x[near] - words.first[row[near]] - place).tolist(), strict=True))
+    masked = set(zip(spans[0].tolist(), spans[1].tolist(), (spans[2] - spans[3]).tolist(), strict=True))
+    out = []
+    for row, item, gap in sorted(found - masked):
+        z = min(items.first[item + 1] - items.first[item], words.first[row + 1] - words.first[row] - gap)
+        a = max(0, -gap)
+        x, y = words.first[row] + gap, items.first[item]
+        same = h[x + a : x + z] == items.words[y + a : y + z]
+        out += [(row, item, gap + a + s, a + s, n, equal) for s, n, equal in _stretches(same)]
+    return tuple(np.array(out, np.int64).reshape(-1, 6).T)
+
+
+def _stretches(same: np.ndarray) -> list[tuple[int, int, int]]:
+    """First position, length and equal words of the longest stretch that counts, and of those on either side of it."""
+    # by what the words up to a position have of equal ones beyond their share
+    beyond = np.append(0, np.cumsum(same - MIN_SHARE))
+    out, left = [], [(0, len(same))]
+    while left:
+        lo, hi = left.pop()
+        if hi - lo < MIN_WORDS:
+            continue
+        part = beyond[lo : hi + 1]
+        first = np.searchsorted(-np.minimum.accumulate(part), -part)
+        size = np.arange(len(part)) - first
+        z = lo + int(np.argmax(size))
+        a = z - int(size.max())
+        while z - a > MIN_WORDS and not same[a]:
+            a += 1
+        while z - a > MIN_WORDS and not same[z - 1]:
+            z -= 1
+        if z - a >= MIN_WORDS:
+            out.append((a, z - a, int(same[a:z].sum())))
+            left += [(lo, a), (z, hi)]
+    return sorted(out)
+
+
 def _pieces(benchmark: DataFrame) -> Iterator[Items]:
     """The test items, in pieces of about PIECE_BYTES: each is sent to the tasks whole."""
     own = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -127,12 +219,13 @@ def _pieces(benchmark: DataFrame) -> Iterator[Items]:
         yield _items(rows)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """doc_id, item_id, doc_start, item_start (words from 0), n_words and n_equal of each overlap that counts.
 
     A null text is an empty one; a text of fewer than MIN_WORDS words has no overlap. Null ids are passed on.
     Repeated documents and repeated items each have their own rows; the overlaps of one document with one item at
-    different offsets too. An empty table on either side gives no rows. Other columns are ignored.
+    different offsets too. whole: besides the overlaps that SQL has, those that the masks miss; of such an offset the
+    longest stretch that counts is an overlap, and so are those beside it. An empty table on either side gives no rows. Other columns are ignored.
     The documents are read once for each PIECE_BYTES of test texts and are never shuffled.
     """
     own = with_long_id(docs, doc_id, text)
@@ -147,7 +240,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
             for batch in batches:
                 texts = X.text_array(batch.column(1))
                 for lo, hi in X.chunks(texts, CHUNK):
-                    row, item, *rest = _overlaps(texts.slice(lo, hi - lo), items)
+                    row, item, *rest = _overlaps(texts.slice(lo, hi - lo), items, whole)
                     if len(row):
                         yield pa.RecordBatch.from_arrays(
                             [batch.column(0).take(pa.array(row + lo)), item_ids.take(pa.array(item)), *(pa.array(x, pa.int32()) for x in rest)],
@@ -159,7 +252,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     return out
 
 
-def without_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+def without_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", whole: bool = False) -> DataFrame:
     """docs, all columns, without the rows that have an overlap with a test item; as overlaps()."""
     names, sc = docs.columns, docs.sparkSession.sparkContext
     out = docs
@@ -171,7 +264,7 @@ def without_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text")
                 texts = X.text_array(batch.column(names.index(text)))
                 keep = np.ones(len(texts), bool)
                 for lo, hi in X.chunks(texts, CHUNK):
-                    keep[lo + _overlaps(texts.slice(lo, hi - lo), held.value)[0]] = False
+                    keep[lo + _overlaps(texts.slice(lo, hi - lo), held.value, whole)[0]] = False
                 yield batch.filter(pa.array(keep))
 
         out = out.mapInArrow(run, docs.schema)
@@ -179,7 +272,7 @@ def without_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), whole=True)
 
 
 def _seed_sql(table: str, key: str) -> str:

@@ -26,9 +26,9 @@ def brute(rows, items):
     return sorted(out, key=repr)
 
 
-def run(spark, rows, items):
+def run(spark, rows, items, **options):
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
-    return sorted((tuple(r) for r in D.overlaps(frame(spark, rows), bench).collect()), key=repr)
+    return sorted((tuple(r) for r in D.overlaps(frame(spark, rows), bench, **options).collect()), key=repr)
 
 
 def test_equals_brute_force(spark):
@@ -76,3 +76,38 @@ def test_without_overlaps(spark, monkeypatch, piece):
     assert left.columns == df.columns
     assert sorted(map(str, (r.doc_id for r in left.collect()))) == sorted(str(i) for i, _ in AWKWARD)
     assert len(D.overlaps(df, bench).collect()) == 10
+
+
+def counting(same):
+    """Whether some stretch is long and equal enough; a longer one has a half that is."""
+    return any(sum(same[a : a + n]) >= D.MIN_SHARE * n for n in range(D.MIN_WORDS, 2 * D.MIN_WORDS) for a in range(len(same) - n + 1))
+
+
+def masked(w, v, gap):
+    return any(
+        all(v[p + q] == w[p + gap + q] for q in mask)
+        for p in range(max(0, -gap), min(len(v), len(w) - gap) - D.SPAN + 1) for mask in D.MASKS
+    )
+
+
+def test_changed_copies_of_short_items_are_found(spark):
+    """Position by position, without masks."""
+    rng = random.Random(3)
+    items = [(i, " ".join(f"i{i}x{k}" for k in range(15 + i % 11))) for i in range(22)]
+    rows = []
+    for i in range(440):
+        v = words(items[i % 22][1])
+        for p in rng.sample(range(len(v)), rng.randint(0, len(v) // 4 + 1)):
+            v[p] = "changed"
+        rows.append((i, " ".join(["before"] * rng.randint(0, 3) + v + ["after"] * rng.randint(0, 3))))
+    want = set()
+    for i, text in rows:
+        w, v = words(text), words(items[i % 22][1])
+        for gap in range(-len(v), len(w)):
+            if not masked(w, v, gap) and counting([v[p] == w[p + gap] for p in range(max(0, -gap), min(len(v), len(w) - gap))]):
+                want.add((i, i % 22, gap))
+    got, old = run(spark, rows, items, whole=True), brute(rows, items)
+    assert set(old) <= set(got) and {(r[0], r[1], r[2] - r[3]) for r in got if r not in old} == want and len(want) > 50
+    for i, j, at, a, n, equal in got:
+        w, v = words(rows[i][1])[at : at + n], words(items[j][1])[a : a + n]
+        assert len(w) == len(v) == n >= D.MIN_WORDS and sum(x == y for x, y in zip(w, v, strict=True)) == equal >= D.MIN_SHARE * n
