@@ -109,7 +109,7 @@ def _overlaps(texts: pa.Array, items: Items, whole: bool) -> tuple[np.ndarray, .
     size, equal = spans[4:]
     good = (size >= MIN_WORDS) & (equal >= MIN_SHARE * size)
     found = tuple(v[good] for v in spans)
-    return tuple(map(np.concatenate, zip(found, _missed(words, h, items, spans), strict=True))) if whole else found
+    return tuple(map(np.concatenate, zip(found, _missed(words, h, items, found), strict=True))) if whole else found
 
 
 def _masked(words: X.Words, h: np.ndarray, items: Items) -> tuple[np.ndarray, ...]:
@@ -148,8 +148,8 @@ def _masked(words: X.Words, h: np.ndarray, items: Items) -> tuple[np.ndarray, ..
     return row, item, offset + first - words.first[row], first, size, equal
 
 
-def _missed(words: X.Words, h: np.ndarray, items: Items, spans: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-    """As _overlaps(), of offsets on which the masks have no hit."""
+def _missed(words: X.Words, h: np.ndarray, items: Items, have: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """As _overlaps(), the stretches that count outside of the overlaps in have, which has one for each offset at most."""
     key, at = _runs(words, h, items.run_filter)
     lo, hi = np.searchsorted(items.run_key, key), np.searchsorted(items.run_key, key, "right")
     ends = np.cumsum(hi - lo)
@@ -173,14 +173,16 @@ def _missed(words: X.Words, h: np.ndarray, items: Items, spans: tuple[np.ndarray
         near = np.flatnonzero(equal >= MIN_SHARE * MIN_WORDS)
         place = y[near] - items.first[item[near]]
         found.update(zip(row[near].tolist(), item[near].tolist(), (x[near] - words.first[row[near]] - place).tolist(), strict=True))
-    masked = set(zip(spans[0].tolist(), spans[1].tolist(), (spans[2] - spans[3]).tolist(), strict=True))
+    taken = dict(zip(zip(have[0].tolist(), have[1].tolist(), (have[2] - have[3]).tolist(), strict=True), zip(have[3].tolist(), have[4].tolist(), strict=True), strict=True))
     out = []
-    for row, item, gap in sorted(found - masked):
+    for row, item, gap in sorted(found):
         z = min(items.first[item + 1] - items.first[item], words.first[row + 1] - words.first[row] - gap)
         a = max(0, -gap)
         x, y = words.first[row] + gap, items.first[item]
         same = h[x + a : x + z] == items.words[y + a : y + z]
-        out += [(row, item, gap + a + s, a + s, n, equal) for s, n, equal in _stretches(same)]
+        first, size = taken.get((row, item, gap), (a, 0))
+        for lo, hi in ((a, first), (first + size, z)):
+            out += [(row, item, gap + lo + s, lo + s, n, equal) for s, n, equal in _stretches(same[lo - a : hi - a])]
     return tuple(np.array(out, np.int64).reshape(-1, 6).T)
 
 
@@ -224,8 +226,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
 
     A null text is an empty one; a text of fewer than MIN_WORDS words has no overlap. Null ids are passed on.
     Repeated documents and repeated items each have their own rows; the overlaps of one document with one item at
-    different offsets too. whole: besides the overlaps that SQL has, those that the masks miss; of such an offset the
-    longest stretch that counts is an overlap, and so are those beside it. An empty table on either side gives no rows. Other columns are ignored.
+    different offsets too. whole: besides the overlaps that SQL has, those that the masks miss or that fail by what lies
+    between two hits; of such an offset the longest stretch that counts is an overlap, and so are those beside it. An empty table on either side gives no rows. Other columns are ignored.
     The documents are read once for each PIECE_BYTES of test texts and are never shuffled.
     """
     own = with_long_id(docs, doc_id, text)
