@@ -23,6 +23,7 @@ from ._spark import read, saved, tokenizer_file, without_ids
 
 SEED = 23
 TEMPER = 0.7  # without weights, a source's weight is its share of the tokens to this power
+LEAST = 0.75  # of all tokens, that the query and the pipeline keep at least
 #: The rest that dynamic programming fits, in multiples of the source's longest document; more where it can't be.
 RESTS = (2, 8, 32)
 
@@ -116,12 +117,26 @@ def _lengths(docs: DataFrame, path: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min("source").alias("source"), F.sum("n_tokens").alias("n_tokens"))
 
 
-def mixture(docs: DataFrame, weights: DataFrame | None = None, budget: int | None = None, seed: int = SEED, vocabulary: str | None = None) -> DataFrame:
+def _scale(shares: DataFrame, budget: float, whole: float) -> float:
+    """Tokens for a unit of weight, so that sources that fall short are used whole and the others share the rest of budget."""
+    scale, short = budget / whole, -1
+    while True:
+        lacking = F.col("total") <= F.col("weight") * scale
+        got = shares.where("weight > 0").agg(
+            F.count_if(lacking).alias("n"), F.sum(F.when(lacking, F.col("total"))).alias("used"), F.sum(F.when(~lacking, F.col("weight"))).alias("w")
+        ).first()
+        if got.w is None or got.n == short:
+            return scale
+        scale, short = max(scale, (budget - (got.used or 0)) / got.w), got.n
+
+
+def mixture(docs: DataFrame, weights: DataFrame | None = None, budget: int | None = None, seed: int = SEED, vocabulary: str | None = None, least: float = 0.0) -> DataFrame:
     """doc_id, source and n_tokens of the documents chosen.
 
     weights(source, weight): the target shares, summed if a source repeats; sources without one, or with none above
     0, are left out. Without weights they are the shares of the tokens to the power TEMPER. budget: tokens in
-    all; without, the most that the weights allow with no document twice. A null source is a source of its own.
+    all, of which sources that fall short leave the rest to the others; without, the most that the weights allow with no
+    document twice, but at least the share least of the tokens, for which scarce sources are used whole. A null source is a source of its own.
     Rows that share a doc_id are one document, whose length is their sum and whose source the smallest; rows with a
     null doc_id can't be chosen. A null text has no tokens. Equal hashes go by doc_id. No documents, no choice.
     """
@@ -134,9 +149,14 @@ def mixture(docs: DataFrame, weights: DataFrame | None = None, budget: int | Non
         own = weights.where("weight > 0").groupBy(F.col("source").alias("for")).agg(F.sum(F.col("weight").cast("double")).alias("weight"))
         shares = totals.join(own, F.col("source").eqNullSafe(F.col("for"))).drop("for")
     shares = saved(shares, "shares")
-    top = shares.where("weight > 0").agg(F.sum("weight").alias("w"), F.min(F.col("total") / F.col("weight")).alias("most")).first()
+    top = shares.where("weight > 0").agg(F.sum("weight").alias("w"), F.min(F.col("total") / F.col("weight")).alias("most"), F.sum("total").alias("all")).first()
     whole = top.w or 1.0
-    scale = (top.most or 0.0) if budget is None else budget / whole
+    if budget is not None:
+        scale = _scale(shares, budget, whole)
+    else:
+        scale = top.most or 0.0
+        if least:
+            scale = max(scale, _scale(shares, least * (top["all"] or 0), whole))
     budgets = shares.select(F.col("source").alias("for"), F.floor(F.col("weight") * scale + 1e-6).alias("budget"))
     joined = by_length.join(budgets, F.col("source").eqNullSafe(F.col("for"))).drop("for")
 
@@ -151,13 +171,13 @@ def mixture(docs: DataFrame, weights: DataFrame | None = None, budget: int | Non
     return counted.withColumn("nth", nth).join(wanted, match).where("nth <= take").select("doc_id", "source", "n_tokens")
 
 
-def mixed(docs: DataFrame, weights: DataFrame | None = None, budget: int | None = None, seed: int = SEED, vocabulary: str | None = None) -> DataFrame:
+def mixed(docs: DataFrame, weights: DataFrame | None = None, budget: int | None = None, seed: int = SEED, vocabulary: str | None = None, least: float = 0.0) -> DataFrame:
     """docs, all columns, with only the chosen documents; as mixture()."""
-    chosen = saved(mixture(docs, weights, budget, seed, vocabulary).select("doc_id"), "chosen")
+    chosen = saved(mixture(docs, weights, budget, seed, vocabulary, least).select("doc_id"), "chosen")
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     rest = saved(ids.join(chosen, "doc_id", "left_anti"), "rest")
     return without_ids(docs.where("doc_id IS NOT NULL"), rest)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture(read(spark, sf_dir, "documents"))
+    return mixture(read(spark, sf_dir, "documents"), least=LEAST)

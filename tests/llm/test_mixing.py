@@ -78,6 +78,15 @@ def test_without_weights_the_scarcest_source_is_used_up(spark):
     assert ideal - 11 <= got["big"] <= ideal
 
 
+def test_a_scarce_source_does_not_shrink_the_others(spark):
+    df = frame(spark, [(i, "word " * 10, "big" if i < 60 else "other") for i in range(100)] + [(200, "x", None)])
+    got = sums(M.mixture(df, least=M.LEAST).collect())
+    assert got[None] == 1 and M.LEAST * 1101 - 22 <= sum(got.values()) <= M.LEAST * 1101
+    assert got["big"] / got["other"] == pytest.approx((60 / 40) ** M.TEMPER, rel=0.05)
+    weights = spark.createDataFrame([("big", 1.0), ("other", 1.0)], "source string, weight double")
+    assert sums(M.mixture(df, weights, 1000).collect()) == {"big": 550, "other": 440}
+
+
 def test_awkward(spark):
     df = frame(spark, [*AWKWARD, (30, "null source", None), (31, "a b", "t"), (31, "c d e", "s")])
     rows = M.mixture(df, None, 10**9).collect()
