@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, SparkSession
@@ -14,7 +15,8 @@ SPECIAL = frozenset(r".*+?[]{}()|\^$")
 GRAM = 4
 #: Characters that mark matches while spans are computed; Unicode reserves them for such use.
 OPEN, CLOSE, STAND_IN = "﷐", "﷑", "﷒"
-_REFUSED = re.compile(r"\(\?(?:[=!>]|<[=!])|\\[1-9]|\\k|(?<!\\)[*+?}]\+")
+#: What is looked at as a whole when a pattern is searched for what is refused: quoted parts, escapes, classes' ends, repeats, groups.
+_TOKEN = re.compile(r"\\Q.*?(?:\\E|$)|\\[xpPN]\{[^{}]*\}|\\.|\(\?(?:[=!>]|<[=!])?|(?:[*+?]|\{[0-9]+(?:,[0-9]*)?\})[+?]?|.", re.S)
 _CLASSES = {
     "alpha": "Alpha", "digit": "Digit", "alnum": "Alnum", "upper": "Upper", "lower": "Lower", "punct": "Punct",
     "space": "Space", "blank": "Blank", "cntrl": "Cntrl", "graph": "Graph", "print": "Print", "xdigit": "XDigit",
@@ -123,9 +125,26 @@ def quoted(literal: str) -> str:
     return re.sub(r"[!-/:-@\[-`{-~]", r"\\\g<0>", literal)
 
 
+def _is_refused(pattern: str) -> bool:
+    """Whether it has backreferences, look-around, or groups or repeats that never give back."""
+    depth, begun = 0, False
+    for token in _TOKEN.findall(pattern):
+        if token == "[":
+            depth, begun = depth + 1, True
+            continue
+        if token == "]" and depth and not begun:
+            depth -= 1
+        begun = begun and token == "^"  # a ] in front is a literal one
+        if re.fullmatch(r"\\[1-9k]", token):
+            return True
+        if not depth and (token in ("(?=", "(?!", "(?>", "(?<=", "(?<!") or (len(token) > 1 and token[0] in "*+?{" and token[-1] == "+")):
+            return True
+    return False
+
+
 def java_regex(pattern: str) -> str:
     """The pattern in Java's dialect; what needs backtracking is refused."""
-    if _REFUSED.search(pattern.replace("\\\\", "\0\0")):
+    if _is_refused(pattern):
         raise PatternError(f"backreferences, look-around and possessive quantifiers aren't supported: {pattern}")
     out = pattern.replace("(?P<", "(?<")
     for name, java in _CLASSES.items():
@@ -133,41 +152,98 @@ def java_regex(pattern: str) -> str:
     return "(?d)" + out
 
 
-def mandatory_runs(pattern: str) -> tuple[str, ...]:
-    """Runs of literal characters that every match of a regular expression holds; cautious, so possibly none."""
-    if "|" in pattern or "(?" in pattern:
-        return ()
-    runs, run, i, depth = [], "", 0, 0
+#: Escapes of one letter that stand for a class, an assertion or a control character.
+_ONE = frozenset("dDsSwWhHvVRXbBAzZGtnrfae")
+_LONGER = re.compile(r"x[0-9A-Fa-f]{2}|x\{[0-9A-Fa-f]+\}|u[0-9A-Fa-f]{4}|c[@-_]|[pP](?:[A-Za-z]|\{[^{}\\]*\})")
+_REPEAT = re.compile(r"\{[0-9]+(?:,[0-9]*)?\}")
+
+
+class _Unknown(Exception):
+    """What the tokenizer doesn't know: then nothing is said about a pattern."""
+
+
+def _escape(pattern: str, i: int) -> tuple[int, str | None]:
+    """Where the escape at i ends, and the character that it stands for, if it just quotes one."""
+    c = pattern[i + 1 : i + 2]
+    if c.isascii() and c and not c.isalnum():
+        return i + 2, c
+    if c in _ONE and c:
+        return i + 2, None
+    if longer := _LONGER.match(pattern, i + 1):
+        return longer.end(), None
+    raise _Unknown
+
+
+def _class_end(pattern: str, i: int) -> int:
+    """Where the character class that begins at i ends; classes nest."""
+    depth = 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i = _escape(pattern, i)[0]
+            continue
+        i += 1
+        if c == "[":
+            depth += 1
+            i += pattern[i : i + 1] == "^"
+            if pattern[i : i + 1] == "]":  # a literal one, or the end of an empty class: dialects differ
+                raise _Unknown
+        elif c == "]":
+            depth -= 1
+            if not depth:
+                return i
+    raise _Unknown
+
+
+def _atoms(pattern: str) -> Iterator[tuple[str | None, int]]:
+    """The atoms of a pattern without | and groups with options: the character of a literal one outside of groups, or
+    None, and how often it has to be there: 0, 1 for just once, 2 for more often or in unknown number."""
+    i, depth = 0, 0
     while i < len(pattern):
-        c, step, literal = pattern[i], 1, True
-        if c == "\\" and i + 1 < len(pattern):
-            c, step = pattern[i + 1], 2
-            literal = not c.isalnum()
+        c, literal = pattern[i], None
+        if c == "\\":
+            i, literal = _escape(pattern, i)
         elif c == "[":
-            end = i + 1 + pattern[i + 1 : i + 2].count("^")
-            end = pattern.find("]", end + 1)
-            step, literal = (end - i + 1 if end > 0 else len(pattern) - i), False
-        elif c in "()":
-            depth += 1 if c == "(" else -1
-            literal = False
-        elif c in SPECIAL:
-            if c == "{":
-                end = pattern.find("}", i)
-                step = end - i + 1 if end > 0 else 1
-            literal = False
-        following = pattern[i + step : i + step + 1]
-        if not literal or depth:
-            runs.append(run)
-            run = ""
-        elif following and following in "*?{":
-            runs.append(run)
-            run = ""
-        elif following == "+":
-            runs.append(run + c)
-            run = ""
+            i = _class_end(pattern, i)
         else:
-            run += c
-        i += step
+            depth += (c == "(") - (c == ")")
+            literal = None if c in SPECIAL else c
+            i += 1
+        if depth < 0:
+            raise _Unknown
+        times = 1
+        while i < len(pattern) and pattern[i] in "*?+{" and c != "(":
+            if pattern[i] == "{":
+                repeat = _REPEAT.match(pattern, i)
+                if repeat is None:
+                    raise _Unknown
+                i, times = repeat.end(), 0
+            else:
+                times = 2 if pattern[i] == "+" and times else 0
+                i += 1
+        yield (literal if depth == 0 and c != ")" else None), times
+
+
+def mandatory_runs(pattern: str) -> tuple[str, ...]:
+    """Runs of literal characters that every match of a regular expression holds; cautious, so possibly none.
+
+    Nothing is said of patterns with alternatives, groups with options, or anything that isn't known here.
+    """
+    if "|" in pattern or "(?" in pattern:
+        return ()
+    runs, run = [], ""
+    try:
+        for literal, times in _atoms(pattern):
+            if literal is None or not times:
+                runs.append(run)
+                run = ""
+            elif times == 1:
+                run += literal
+            else:  # what follows comes after the last of several
+                runs.append(run + literal)
+                run = ""
+    except _Unknown:
+        return ()
     return tuple(dict.fromkeys(x for x in (*runs, run) if x and "\n" not in x))
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linescan.config import SearchConfig
+from linescan.config import MAX_FILE_BYTES, SearchConfig
 from linescan.functions import scalars
 from linescan.functions.pattern import compile_pattern, grams
 from linescan.operators import filters, ignore, index, output, stats
@@ -25,6 +25,8 @@ SEVERAL = "|".join(PARTS)
 REGEX = "[Tt]h[a-z]+e"
 DIGITS = "[0-9]+"
 LOW_LIMIT = 4000
+#: A table's texts are all searched, however long and whatever they hold; the filters have queries of their own.
+ALL_FILES = {"size_filter": False, "binary_filter": False}
 #: Ignore files of three directories of the paths of pages.
 NESTED = [("", "9*\n/thther.example.org/en/1*\n"), ("thther.example.org", "*5\n!*25\n"), ("thther.example.org/en", "!*15\n7*\n")]
 
@@ -44,7 +46,7 @@ def _lines_sql(files: str = _DOCS) -> str:
 
 def _grep(pattern: str, **options) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return core.search(tables.documents(spark, sf_dir), SearchConfig(pattern, **options), ranges=False)
+        return core.search(tables.documents(spark, sf_dir), SearchConfig(pattern, **ALL_FILES | options), ranges=False)
 
     return run
 
@@ -59,7 +61,7 @@ def _any_sql(parts: tuple[str, ...]) -> str:
 
 def _spans(pattern: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return core.span_rows(core.search(tables.documents(spark, sf_dir), SearchConfig(pattern)))
+        return core.span_rows(core.search(tables.documents(spark, sf_dir), SearchConfig(pattern, **ALL_FILES)))
 
     return run
 
@@ -80,7 +82,7 @@ SELECT path, line_num, a::INT AS start_byte, (a + n)::INT AS end_byte FROM place
 
 
 def _docs(spark: SparkSession, sf_dir: str, pattern: str, **options) -> DataFrame:
-    return core.search(tables.documents(spark, sf_dir), SearchConfig(pattern, **options))
+    return core.search(tables.documents(spark, sf_dir), SearchConfig(pattern, **ALL_FILES | options))
 
 
 def count_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +98,7 @@ def files_with_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files_without_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return core.files_without_matches(tables.documents(spark, sf_dir), SearchConfig(DIGITS))
+    return core.files_without_matches(tables.documents(spark, sf_dir), SearchConfig(DIGITS, **ALL_FILES))
 
 
 def lines_not_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +108,7 @@ def lines_not_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines_of_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return core.search(tables.conversations(spark, sf_dir), SearchConfig("tion"), ranges=False)
+    return core.search(tables.conversations(spark, sf_dir), SearchConfig("tion", **ALL_FILES), ranges=False)
 
 
 def jump_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +197,7 @@ def status_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = ignore.parse_rules("*7.txt\n/src2/\n")
-    return stats.search_stats(tables.documents(spark, sf_dir), _low(DIGITS), rules)
+    return stats.search_stats(tables.documents(spark, sf_dir), SearchConfig(DIGITS), rules)
 
 
 def stats_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,10 +239,19 @@ def index_skip_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.skippable(_index(spark, sf_dir, "License|example"), tables.documents(spark, sf_dir), compile_pattern("License|example"))
 
 
-def grep_with_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _with_index(spark: SparkSession, sf_dir: str, pattern: str) -> DataFrame:
     files = tables.documents(spark, sf_dir)
-    skip = index.skippable(_index(spark, sf_dir, "License"), files, compile_pattern("License"))
-    return core.search(files, SearchConfig("License"), skip=skip, ranges=False)
+    skip = index.skippable(_index(spark, sf_dir, pattern), files, compile_pattern(pattern))
+    return core.search(files, SearchConfig(pattern, **ALL_FILES), skip=skip, ranges=False)
+
+
+def grep_with_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_index(spark, sf_dir, "License")
+
+
+def grep_with_index_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An escape, an optional letter and a class; the index may use what is left."""
+    return _with_index(spark, sf_dir, r"\x4ci?cens[e\x73]")
 
 
 def index_invalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,7 +324,7 @@ def stream_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = source if os.path.isdir(source) else f"{sf_dir}/[d]ocuments.parquet"
     rows = spark.readStream.schema(schema).parquet(source)
     files = rows.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
-    found = stream.search_stream(files, SearchConfig("the")).select("path", "line_num", "text")
+    found = stream.search_stream(files, SearchConfig("the", **ALL_FILES)).select("path", "line_num", "text")
     out, at = _folder(spark, "stream-out"), _folder(spark, "stream-state")
     found.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("path string, line_num int, text string").parquet(out)
@@ -325,7 +336,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = f"{sf_dir}/events.parquet"
     source = source if os.path.isdir(source) else f"{sf_dir}/[e]vents.parquet"
     files = tables.events(spark.readStream.schema(schema).parquet(source))
-    found = stream.search_stream(files, SearchConfig("[0-9]"), keep=["path", "ts"])
+    found = stream.search_stream(files, SearchConfig("[0-9]", **ALL_FILES), keep=["path", "ts"])
     counted = stream.match_counts(found, "1 hour", "365 days")
     name = f"linescan_{uuid.uuid4().hex}"
     query = counted.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", _folder(spark, "windows")).trigger(availableNow=True).start()
@@ -348,6 +359,8 @@ _SEARCH = {
     "grep_multi_literal": (_grep(SEVERAL), _grep_sql(_any_sql(PARTS))),
     "grep_regex": (_grep(REGEX), _grep_sql(f"regexp_matches(text, '{REGEX}')")),
     "grep_regex_digits": (_grep(DIGITS), _grep_sql(_HITS)),
+    "grep_regex_escape": (_grep(r"\x74he [a-z]"), _grep_sql("regexp_matches(text, 'the [a-z]')")),
+    "grep_regex_class": (_grep(r"[\]\x5BTt]h[e\u0061]t*"), _grep_sql("regexp_matches(text, '[\[\]Tt]h[ea]')")),
     "grep_force_literal": (_grep(".", force_literal=True), _grep_sql("contains(text, '.')")),
     "grep_anchor_stripped": (_grep("^the$"), _grep_sql(_THE)),
     "grep_empty_pattern": (_grep("^$"), _grep_sql("true")),
@@ -423,7 +436,7 @@ _FILTERS = {
     ),
     "search_stats": (
         search_stats,
-        f"""WITH s AS (SELECT *, CASE WHEN source = 'src2' THEN 'dir' WHEN size > {LOW_LIMIT} THEN 'large' WHEN doc_id % 10 = 7 THEN 'ignored' ELSE 'searched' END AS status FROM {_LOW_DOCS})
+        f"""WITH s AS (SELECT *, CASE WHEN source = 'src2' THEN 'dir' WHEN size > {MAX_FILE_BYTES} THEN 'large' WHEN doc_id % 10 = 7 THEN 'ignored' ELSE 'searched' END AS status FROM {_LOW_DOCS})
         SELECT count(*) FILTER (WHERE status <> 'dir') AS files_encountered, count(*) FILTER (WHERE status = 'searched') AS files_searched,
           count(*) FILTER (WHERE status = 'searched' AND {_HITS}) AS files_contained_matches, count(*) FILTER (WHERE status = 'large') AS files_skipped_large,
           0::BIGINT AS files_skipped_as_binary_due_to_ext, 0::BIGINT AS files_skipped_as_binary_due_to_probe, 0::BIGINT AS files_skipped_unreadable,
@@ -456,6 +469,7 @@ _INDEX = {
         f"""SELECT path FROM {_DOCS} WHERE len(list_filter(['Lice', 'icen', 'cens', 'ense'], lambda g: NOT contains(text, g))) > 0
         AND len(list_filter(['exam', 'xamp', 'ampl', 'mple'], lambda g: NOT contains(text, g))) > 0""",
     ),
+    "grep_with_index_regex": (grep_with_index_regex, _grep_sql("regexp_matches(text, 'Li?cens[es]')")),
     "grep_with_index": (grep_with_index, _grep_sql("contains(text, 'License')")),
     "index_invalidation": (
         index_invalidation,

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -8,8 +9,9 @@ from pyspark.sql import functions as F
 from linescan.config import SearchConfig
 from linescan.errors import PatternError
 from linescan.functions import scalars
-from linescan.functions.pattern import compile_pattern, grams, literal_part, mandatory_runs
-from linescan.operators.search import search
+from linescan.functions.pattern import compile_pattern, grams, java_regex, literal_part, mandatory_runs
+from linescan.operators import index
+from linescan.operators.search import files_without_matches, search
 
 CASES = [
     ("TODO", {}, "a TODO b\nTODO TODO\n", [(1, 2, 6), (2, 0, 4), (2, 5, 9)]),
@@ -64,12 +66,58 @@ def test_kinds():
     assert literal_part("^^foo$$") == "foo" and literal_part("f.o") is None
 
 
-@pytest.mark.parametrize("pattern", [r"(a)\1", "(?=a)", "(?<!a)b", "a++", "(", "[a"])
+@pytest.mark.parametrize("pattern", [r"(a)\1", "(?=a)", "(?<!a)b", "a++", "(", "[a", "a{2}+", "(?>a)", r"\k<n>", "a?+b"])
 def test_refused(spark, pattern):
     with pytest.raises(PatternError):
         compile_pattern(pattern)
 
 
+ATOMS = [
+    ("a", "a"), ("b", "b"), ("4", "4"), ("1", "1"), ("c", "c"), ("é", "é"), ("😀", "😀"), (r"\.", "."), (r"\]", "]"), (r"\_", "_"), (r"\-", "-"),
+    (r"\x41", "A"), (r"\x{1F600}", "😀"), (r"\u0042", "B"), (r"\d", "7"), (r"\w", "k"), (r"\S", "z"), (r"\W", "!"), (r"\p{Alpha}", "q"), (r"\pL", "L"),
+    (r"\P{Alpha}", "3"), (r"\t", "\t"), (r"\e", "\x1b"), (r"\cA", "\x01"), (r"\07", "\x07"), (r"\053", "+"), (".", "x"), ("[abc]", "b"), (r"[\]abcd]", "]"), ("[^abc]", "d"),
+    ("[a[b]cdef]", "e"), ("[a-z&&[def]]", "f"), (r"[\x41-\x43]", "B"), ("[[:digit:]]", "5"), (r"[\[]", "["), ("(ab4)", "ab4"), ("(a(b)c)", "abc"), ("(a|1c)", "1c"),
+    (r"\Qa.b\E", "a.b"), (r"\b", ""), ("(?:b4)", "b4"), ("[{}]", "{"), (r"\{", "{"),
+]
+REPEATS = [("", 1, 1), ("*", 0, 2), ("?", 0, 1), ("+", 1, 3), ("{2}", 2, 2), ("{0}", 0, 0), ("{1,3}", 1, 3), ("{0,}", 0, 2), ("*?", 0, 2), ("+?", 1, 2), ("??", 0, 1), ("{2,}?", 2, 3)]
+
+
+def test_mandatory_runs_of_escapes_and_classes(spark):
+    """Patterns and texts that they match, from one grammar, with Java as the judge of what matches."""
+    rng, compile_ = random.Random(7), spark.sparkContext._jvm.java.util.regex.Pattern.compile
+    matched = said = 0
+    for _ in range(3000):
+        pattern = text = ""
+        for _ in range(rng.randint(1, 7)):
+            (atom, one), (repeat, least, most) = rng.choice(ATOMS), rng.choice(REPEATS) if rng.random() < 0.4 else REPEATS[0]
+            if atom == r"\b":
+                repeat = ""
+            pattern, text = pattern + atom + repeat, text + one * rng.randint(least, most)
+        java = java_regex(pattern)
+        if compile_(java).matcher(text).find():
+            runs = mandatory_runs(pattern)
+            matched, said = matched + 1, said + bool(runs)
+            assert all(run in text for run in runs), (pattern, text, runs)
+    assert matched > 2000 and said > 700
+
+
+@pytest.mark.parametrize(
+    "pattern,text,n",
+    [(r"\x41bc", "see Abc here", 1), (r"\x54ODO", "TODO now", 1), (r"[\]abcd]x", "x ]x y", 1), (r"\u0041bcd", "Abcd", 1), ("[a[b]cdef]gh", "egh", 1), (r"\053x1", "+x1", 1)],
+)
+def test_escapes_lose_no_match(spark, pattern, text, n):
+    files = spark.createDataFrame([("f", text)], "path string, text string")
+    assert search(files, SearchConfig(pattern)).count() == n == files.where(F.col("text").rlike(java_regex(pattern))).count()
+    assert files_without_matches(files, SearchConfig(pattern)).count() == 0
+    index_rows = index.build(files, index.pattern_grams(compile_pattern(pattern)))
+    assert index.skippable(index_rows, files, compile_pattern(pattern)).count() == 0
+
+
+@pytest.mark.parametrize("pattern", ["[*+]a", r"\x{41}+", r"\}+", r"\++", "[+]+", r"\\+", r"\Qa++\E+", "a+?", "[^]+*]+"])
+def test_not_refused(spark, pattern):
+    assert compile_pattern(pattern).kind == "regex"
+
+
 def test_mandatory_runs():
     assert mandatory_runs("colou?r") == ("colo", "r")
     assert mandatory_runs("ab+c") == ("ab", "c")
