@@ -150,9 +150,12 @@ def id_filter(ids: DataFrame) -> np.ndarray | None:
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id isn't in ids, a saved table of doc_id BIGINT without nulls; null ids stay.
 
-    Rows that a Bloom filter of the ids rules out stay where they are; only the others are joined with the ids. Where
-    the filter would be too large to send, all rows are joined.
+    Ids that fit spark.sql.autoBroadcastJoinThreshold are broadcast. Beyond that, rows that a Bloom filter of the ids
+    rules out stay where they are, and only the others are joined with the ids; where the filter would be too large to
+    send, all rows are joined.
     """
+    if ids.count() * 16 <= _bytes_limit(docs.sparkSession):
+        return docs.join(F.broadcast(ids), "doc_id", "left_anti")
     words = id_filter(ids)
     if words is None:
         return join_narrow(docs, ids, "doc_id", "left_anti", 16)
