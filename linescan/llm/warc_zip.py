@@ -104,11 +104,18 @@ def index_line(line: str) -> tuple[str, int, int] | None:
         return None
     if "{" in line:
         found = json.loads(line[line.index("{") :])
-        return str(found["filename"]), int(found["offset"]), int(found["length"])
-    fields = line.split(" ")
-    if len(fields) < 11:
-        raise BadPackage("index line of neither form")
-    return fields[10], int(fields[9]), int(fields[8])
+        try:
+            entry = str(found["filename"]), int(found["offset"]), int(found["length"])
+        except (KeyError, TypeError, OverflowError) as bad:
+            raise BadPackage(f"index line without {bad}") from bad
+    else:
+        fields = line.split(" ")
+        if len(fields) < 11:
+            raise BadPackage("index line of neither form")
+        entry = fields[10], int(fields[9]), int(fields[8])
+    if not (0 <= entry[1] < 1 << 63 and 0 <= entry[2] < 1 << 63):
+        raise BadPackage("index line with an impossible offset or length")
+    return entry
 
 
 def parse_record(data: bytes) -> dict:
@@ -119,7 +126,7 @@ def parse_record(data: bytes) -> dict:
         raise BadPackage("no WARC record")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
     length = int(fields.get("content-length", len(rest)))
-    if length > len(rest):
+    if length < 0 or length > len(rest):
         raise BadPackage("record shorter than its Content-Length")
     block, status, kind = rest[:length], None, fields.get("content-type")
     if (kind or "").replace(" ", "").startswith("application/http") and block.startswith(b"HTTP/"):
@@ -161,6 +168,10 @@ _FIELDS = pa.schema(
 )
 
 
+#: What broken input raises: a package, member, index or record that can't be read is an error row.
+BROKEN = (ValueError, OSError, EOFError, struct.error, zlib.error)
+
+
 def _plan_package(path: str) -> Iterator[dict]:
     read_at, size, file = _opened(path)
     with file:
@@ -173,8 +184,13 @@ def _plan_package(path: str) -> Iterator[dict]:
             if m.method != STORED or m.encrypted:
                 yield {"path": path, "member": m.name, "error": "member isn't stored"}
                 continue
-            data = read_at(data_offset(read_at, m), m.size)
-            for line in (gzip.decompress(data) if m.name.endswith(".gz") else data).decode("utf-8", "replace").split("\n"):
+            try:
+                data = read_at(data_offset(read_at, m), m.size)
+                data = gzip.decompress(data) if m.name.endswith(".gz") else data
+            except BROKEN as bad:
+                yield {"path": path, "member": m.name, "error": f"{type(bad).__name__}: {bad}"}
+                continue
+            for line in data.decode("utf-8", "replace").split("\n"):
                 try:
                     entry = index_line(line)
                 except ValueError as bad:
@@ -190,7 +206,11 @@ def _plan_package(path: str) -> Iterator[dict]:
             if m.method != STORED or m.encrypted:
                 yield {"path": path, "member": name, "error": "member isn't stored"}
                 continue
-            base = data_offset(read_at, m)
+            try:
+                base = data_offset(read_at, m)
+            except BROKEN as bad:
+                yield {"path": path, "member": name, "error": f"{type(bad).__name__}: {bad}"}
+                continue
             if name not in wanted:
                 yield {"path": path, "member": name, "base": base, "size": m.size}
                 continue
@@ -212,7 +232,7 @@ def _plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             try:
                 rows.extend(_plan_package(path))
-            except (BadPackage, OSError, struct.error, zlib.error) as bad:
+            except BROKEN as bad:
                 rows.append({"path": path, "error": f"{type(bad).__name__}: {bad}"})
             yield pa.RecordBatch.from_pylist(rows, _PLAN)
 
@@ -221,14 +241,15 @@ def _scanned(read_at: ReadAt, base: int, size: int, zipped: bool) -> Iterator[tu
     """Offset, length and bytes of each record of a member without an index."""
     at = 0
     if not zipped:
-        data = read_at(base, size)
         while at < size:
-            end = data.find(b"\r\n\r\n", at)
-            length = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", data[at : end + 2]) if end >= 0 else None
+            head, step = b"", 1 << 14
+            while (end := head.find(b"\r\n\r\n")) < 0 and len(head) < size - at:
+                head, step = read_at(base + at, min(step, size - at)), step * 4
+            length = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", head[: end + 2]) if end >= 0 else None
             if not length:
                 raise BadPackage(f"no record at {at}")
-            stop = min(size, end + 4 + int(length[1]) + 4)
-            yield at, stop - at, data[at:stop]
+            stop = min(size, at + end + 4 + int(length[1]) + 4)
+            yield at, stop - at, read_at(base + at, stop - at)
             at = stop
         return
     while at < size:
@@ -249,11 +270,16 @@ def _fetched(row: dict, read_at: ReadAt) -> Iterator[tuple[int, int, bytes | Non
         try:
             for offset, length, data in _scanned(read_at, row["base"], row["size"], zipped):
                 yield offset, length, data, None
-        except (BadPackage, zlib.error, OSError) as bad:
+        except BROKEN as bad:
             yield None, None, None, f"{type(bad).__name__}: {bad}"
         return
     first, last = row["offsets"][0], row["offsets"][-1]
-    data = read_at(row["base"] + first, max(0, min(max(o + n for o, n in zip(row["offsets"], row["lengths"], strict=True)), row["size"]) - first))
+    try:
+        data = read_at(row["base"] + first, max(0, min(max(o + n for o, n in zip(row["offsets"], row["lengths"], strict=True)), row["size"]) - first))
+    except BROKEN as bad:
+        for offset, length in zip(row["offsets"], row["lengths"], strict=True):
+            yield offset, length, None, f"{type(bad).__name__}: {bad}"
+        return
     for offset, length in zip(row["offsets"], row["lengths"], strict=True):
         raw = data[offset - first : offset - first + length]
         if len(raw) < length or offset > last:
@@ -271,7 +297,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if row["error"]:
                 yield pa.RecordBatch.from_pylist([{k: row[k] for k in ("path", "member", "error")}], _FIELDS)
                 continue
-            read_at, _, file = _opened(row["path"])
+            try:
+                read_at, _, file = _opened(row["path"])
+            except BROKEN as bad:
+                yield pa.RecordBatch.from_pylist([{"path": row["path"], "member": row["member"], "error": f"{type(bad).__name__}: {bad}"}], _FIELDS)
+                continue
             rows, size = [], 0
             with file:
                 for offset, length, data, error in _fetched(row, read_at):

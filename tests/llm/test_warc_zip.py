@@ -135,3 +135,26 @@ def test_small_packages_and_ranges(spark, tmp_path, monkeypatch):
     assert packages.count() > 5
     found = Z.read_packages(packages.select("path"), 4)
     assert sorted(int(r.target_uri[1:]) for r in found.collect()) == list(range(100))
+
+
+def test_malformed_input_gives_error_rows(spark, tmp_path):
+    good = gzip.compress(Z._record(1, "http://a", "x"), mtime=0)
+    line = lambda **x: "a 2024 " + json.dumps({"filename": "data.warc.gz", "offset": 0, "length": len(good)} | x) + "\n"
+    bad = [line(offset=None), line(offset=-5), line(length="many"), line(offset=1 << 70), 'a 2024 {"offset": 0, "length": 3}\n', "a 2024 [{\n", line()]
+    packages = {
+        "lines": [("archive/data.warc.gz", good), ("indexes/index.cdxj", "".join(bad).encode())],
+        "cut": [("archive/data.warc.gz", good), ("indexes/index.cdx.gz", gzip.compress(line().encode())[:-9])],
+        "plain": [("archive/data.warc", b"".join(Z._record(i, None, "y" * 40000) for i in range(3)) + b"no record")],
+    }
+    for name, files in packages.items():
+        (tmp_path / name).write_bytes(Z.zip_stored(files))
+    name = Z.zip_stored([("archive/\u00e9.warc", b"")]).replace("\u00e9".encode(), b"\xff\xfe")
+    (tmp_path / "name").write_bytes(name)
+    paths = spark.createDataFrame([(f"file://{tmp_path}/{x}",) for x in [*packages, "name", "missing"]], "path string")
+    rows = [(r.path.rpartition("/")[2], r.record_id, r.error is None) for r in Z.read_packages(paths, 2).collect()]
+    of = lambda x: sorted(r[1:] for r in rows if r[0] == x)
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted((r[1:] for r in rows if r[0] == "lines"), key=key) == sorted([(None, False)] * 6 + [("<urn:page:1>", True)], key=key)
+    assert sorted((r[1:] for r in rows if r[0] == "cut"), key=key) == sorted([(None, False), ("<urn:page:1>", True)], key=key)
+    assert sorted((r[1:] for r in rows if r[0] == "plain"), key=key) == sorted([(None, False)] + [(f"<urn:page:{i}>", True) for i in range(3)], key=key)
+    assert of("name") == [(None, False)] and of("missing") == [(None, False)]
