@@ -49,6 +49,7 @@ class Items:
     """The seeds of test items, sorted by key, and the hashes of their words."""
 
     ids: list[int | None]
+    times: np.ndarray  # how often each item is there
     words: np.ndarray
     first: np.ndarray
     key: np.ndarray
@@ -96,7 +97,7 @@ def _items(rows: list) -> Items:
     order = np.argsort(key, kind="stable")
     run_key, run_at = _runs(words, h)
     by = np.argsort(run_key, kind="stable")
-    return Items([r.item_id for r in rows], h, words.first, key[order], item[order], place[order], _filter(key), run_key[by], run_at[by], _filter(run_key))
+    return Items([r.item_id for r in rows], np.array([r.times for r in rows], np.int64), h, words.first, key[order], item[order], place[order], _filter(key), run_key[by], run_at[by], _filter(run_key))
 
 
 def _overlaps(texts: pa.Array, items: Items, whole: bool) -> tuple[np.ndarray, ...]:
@@ -112,6 +113,15 @@ def _overlaps(texts: pa.Array, items: Items, whole: bool) -> tuple[np.ndarray, .
     return tuple(map(np.concatenate, zip(found, _missed(words, h, items, found), strict=True))) if whole else found
 
 
+def _outermost(hits: np.ndarray) -> np.ndarray:
+    """Of rows (row, item, offset, first, last), one for each of the first three, with the least first and the greatest last."""
+    hits = hits[np.lexsort((hits[:, 2], hits[:, 1], hits[:, 0]))]
+    head = np.flatnonzero(np.append(True, (hits[1:, :3] != hits[:-1, :3]).any(1))) if len(hits) else np.zeros(0, np.int64)
+    if not len(head):
+        return hits
+    return np.column_stack((hits[head, :3], np.minimum.reduceat(hits[:, 3], head), np.maximum.reduceat(hits[:, 4], head)))
+
+
 def _masked(words: X.Words, h: np.ndarray, items: Items) -> tuple[np.ndarray, ...]:
     """As _overlaps(), from the first to the last hit of masks on each offset, whether it counts or not."""
     found_at, found_key = [], []
@@ -123,20 +133,21 @@ def _masked(words: X.Words, h: np.ndarray, items: Items) -> tuple[np.ndarray, ..
         found_key.append(key[at])
     at, key = np.concatenate(found_at), np.concatenate(found_key)
     lo, hi = np.searchsorted(items.key, key), np.searchsorted(items.key, key, "right")
-    to = np.repeat(lo, hi - lo) + X.spans(hi - lo)
-    at = np.repeat(at, hi - lo)
-    if not len(at):
+    ends = np.cumsum(hi - lo)
+    spans, a = [np.zeros((0, 5), np.int64)], 0
+    while a < len(at):  # of all hits of BLOCK pairs only the first and last on each offset are kept
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BLOCK, "right")))
+        n = (hi - lo)[a:b]
+        to, x = np.repeat(lo[a:b], n) + X.spans(n), np.repeat(at[a:b], n)
+        a = b
+        item, place = items.item[to], items.place[to]
+        spans.append(_outermost(np.column_stack((words.doc[x], item, x - place, place, place))))
+        if sum(map(len, spans)) > 2 * BLOCK + 2 * len(spans[0]):
+            spans = [_outermost(np.concatenate(spans))]
+    row, item, offset, first, end = _outermost(np.concatenate(spans)).T
+    if not len(row):
         return tuple(np.zeros(0, np.int64) for _ in range(6))
-    item, place = items.item[to], items.place[to]
-    offset = at - place
-    order = np.lexsort((place, offset, item, words.doc[at]))
-    row, item, place, offset = words.doc[at][order], item[order], place[order], offset[order]
-    cut = np.ones(len(row), bool)
-    cut[1:] = (np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(offset) != 0)
-    head = np.flatnonzero(cut)
-    last = np.append(head[1:], len(row)) - 1
-    row, item, offset, first = row[head], item[head], offset[head], place[head]
-    size = place[last] + SPAN - first
+    size = end + SPAN - first
     equal = np.empty(len(size), np.int64)
     step = 20000
     for a in range(0, len(size), step):
@@ -213,6 +224,7 @@ def _stretches(same: np.ndarray) -> list[tuple[int, int, int]]:
 def _pieces(benchmark: DataFrame) -> Iterator[Items]:
     """The test items, in pieces of about PIECE_BYTES: each is sent to the tasks whole."""
     own = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
+    own = own.groupBy("item_id", "text").agg(F.count("*").alias("times"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = size // PIECE_BYTES + 1
     for i in range(n):
@@ -226,7 +238,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
 
     A null text is an empty one; a text of fewer than MIN_WORDS words has no overlap. Null ids are passed on.
     Repeated documents and repeated items each have their own rows; the overlaps of one document with one item at
-    different offsets too. whole: besides the overlaps that SQL has, those that the masks miss or that fail by what lies
+    different offsets too. A very long text is searched whole; hits with repeated words are reduced to the first and last
+    of each offset, a block of them at a time. whole: besides the overlaps that SQL has, those that the masks miss or that fail by what lies
     between two hits; of such an offset the longest stretch that counts is an overlap, and so are those beside it. An empty table on either side gives no rows. Other columns are ignored.
     The documents are read once for each PIECE_BYTES of test texts and are never shuffled.
     """
@@ -244,6 +257,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
                 for lo, hi in X.chunks(texts, CHUNK):
                     row, item, *rest = _overlaps(texts.slice(lo, hi - lo), items, whole)
                     if len(row):
+                        row, item, *rest = (np.repeat(x, items.times[item]) for x in (row, item, *rest))
                         yield pa.RecordBatch.from_arrays(
                             [batch.column(0).take(pa.array(row + lo)), item_ids.take(pa.array(item)), *(pa.array(x, pa.int32()) for x in rest)],
                             ["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_equal"],

@@ -117,3 +117,13 @@ def test_more_of_an_item_is_never_less(spark, first, replaced, last):
     assert {r[0] for r in got} == {1, 2} and want <= covered
     docs = frame(spark, [(1, text), (3, "another text")])
     assert [r.doc_id for r in D.without_overlaps(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"), whole=True).collect()] == [3]
+
+
+def test_repeated_words_and_items_are_bounded(spark):
+    """20,000 equal words against an item of 500: every offset once; repeated items each have their rows."""
+    docs = frame(spark, [(1, "a " * 20000)])
+    bench = spark.createDataFrame([(7, "a " * 500)], "item_id long, text string")
+    assert D.overlaps(docs, bench).count() == 20000 + 500 - 2 * 12 + 1
+    item = " ".join(f"i{k}" for k in range(20))
+    bench = spark.createDataFrame([(7, item)] * 3 + [(None, item)], "item_id long, text string")
+    assert sorted(str(r.item_id) for r in D.overlaps(frame(spark, [(1, item)]), bench).collect()) == ["7", "7", "7", "None"]
