@@ -1,7 +1,7 @@
 import pytest
 
 import corpus_pipeline as P
-from linescan.llm import decontaminate, ngram_join, quality, tokens
+from linescan.llm import decontaminate, mixing, ngram_join, quality, tokens
 from linescan.llm._spark import read, tokenizer_file
 from tests.llm.cases import words
 from tests.llm.test_ngram_join import brute as groups_of
@@ -61,7 +61,7 @@ def test_benchmark_stage(spark, small, stages):
 
 
 def test_mixing_stage(stages):
-    """The scarcest source stays whole; every other one has its tempered share, or the most that fits."""
+    """Every source has its tempered share, or the most that fits, of a budget of LEAST of the tokens at least."""
     encode = tokens.encoding(tokenizer_file(tokens.VOCABULARY)).encode_ordinary
     size = {r.doc_id: (r.source, len(encode(r.text))) for r in stages[3].collect()}
     total: dict[str, int] = {}
@@ -71,11 +71,17 @@ def test_mixing_stage(stages):
     for i in ids(stages[4]):
         left[size[i][0]] = left.get(size[i][0], 0) + size[i][1]
     scale = min(n / n**0.7 for n in total.values())
+    rest, weight = mixing.LEAST * sum(total.values()), sum(n**0.7 for n in total.values())
+    for n in sorted(total.values()):  # sources that fall short are used whole, from the scarcest on
+        if n > n**0.7 * rest / weight:
+            break
+        rest, weight = rest - n, weight - n**0.7
+    scale = max(scale, rest / weight) if weight > 1e-6 else scale
     for s, n in total.items():
         reachable, budget = 1, int(n**0.7 * scale + 1e-6)  # the sums of some documents, as bits
         for source, size_ in size.values():
             reachable |= reachable << size_ if source == s else 0
-        assert left[s] == (reachable & ((1 << budget + 1) - 1)).bit_length() - 1
+        assert left.get(s, 0) == (reachable & ((1 << budget + 1) - 1)).bit_length() - 1
 
 
 def test_token_stage(stages):
