@@ -13,6 +13,9 @@ sketches of 192 bits are near its own are its candidates, whose similarity is th
 sketches say that they are surely similar are united at once, within a bucket of signatures, and what is united isn't
 compared any more: a group of near copies isn't spread out to all of its pairs. Where what was united turns out to be several
 groups, all documents but those of its largest group are compared again, with all that they share a signature with.
+
+links() leaves what was united as it is, so that a group may be several but no link leaves it, and then compares all
+different texts of each group with each other, by their whole sets, in blocks of a group: no sketch is asked there.
 """
 
 from __future__ import annotations
@@ -38,8 +41,11 @@ SKETCH = 192
 FEW = 128  # bits of sketches of which at least one is of a small set
 SMALL = 32
 SURE = 0.75  # of the expected difference at the threshold
-SPREAD = 6  # standard deviations by which a sketch may differ more than expected at the threshold
+SPREAD = 7  # standard deviations by which a sketch may differ more than expected at the threshold
 LOCAL_EDGES = 1 << 20
+GROUP_DOCS = 2048  # of a block of a group, about
+GROUP_BYTES = 8 << 20  # of their texts
+COLUMNS = 1024  # features of a matrix product
 COUNT_BITS = 22  # of a hash, that choose one of the counters of the corpus
 COUNT_BLOCK = 16
 CHUNK = 2 << 20
@@ -313,8 +319,11 @@ def _sharing(held: list[list[bytes]]) -> tuple[np.ndarray, ...]:
     return doc, of, size, sketch, row[order], group[order]
 
 
-def _bucket_pairs(held: list[list[bytes]], threshold: float, exact: bool, certain: float = SURE) -> tuple[np.ndarray, ...]:
-    """Pairs of ids to compare, and for those that are taken to be similar the group that they belong to, else -1."""
+def _bucket_pairs(held: list[list[bytes]], threshold: float, exact: bool, certain: float = SURE, loose: bool = False) -> tuple[np.ndarray, ...]:
+    """Pairs of ids to compare, and for those that are taken to be similar the group that they belong to, else -1.
+
+    loose: without the pairs of which others make one group anyway.
+    """
     doc, of, size, sketch, row, group = _sharing(held)
     p = np.arange(int(of.max()) + 1 if len(of) else 0)
     found, links = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
@@ -327,7 +336,10 @@ def _bucket_pairs(held: list[list[bytes]], threshold: float, exact: bool, certai
         near = (label != np.repeat(label[head], length)) & (np.minimum(size[lead], size[row]) >= threshold * np.maximum(size[lead], size[row]) - EPS)
         at = np.flatnonzero(near)
         a, b = lead[at], row[at]
-        may, sure = _compared(sketch[a], sketch[b], size[a], size[b], threshold, exact, certain)
+        may, sure = np.zeros((2, len(a)), bool)
+        for lo in range(0, len(a), BLOCK // 8):
+            x, y = a[lo : lo + BLOCK // 8], b[lo : lo + BLOCK // 8]
+            may[lo : lo + len(x)], sure[lo : lo + len(x)] = _compared(sketch[x], sketch[y], size[x], size[y], threshold, exact, certain)
         found.append(np.column_stack((of[a[may & ~sure]], of[b[may & ~sure]])))
         if sure.any():
             new = np.unique(np.column_stack((of[a[sure]], of[b[sure]])), axis=0)
@@ -346,6 +358,8 @@ def _bucket_pairs(held: list[list[bytes]], threshold: float, exact: bool, certai
         if waiting > BLOCK:
             found, waiting = [np.unique(np.concatenate(found), axis=0)], 0
     pairs, links = np.unique(np.concatenate(found), axis=0), np.unique(np.concatenate(links), axis=0)
+    if loose:
+        pairs = pairs[_found(p, pairs[:, 0]) != _found(p, pairs[:, 1])]
     ids = np.unique(doc)
     label = ids[_found(p, links[:, 0])] if len(links) else np.zeros(0, np.int64)
     both = np.concatenate((pairs, links))
@@ -374,10 +388,10 @@ def _pairs_with(held: list[list[bytes]], threshold: float, exact: bool, words: n
     return pairs[:, 0], pairs[:, 1], np.full(len(pairs), np.iinfo(np.int64).min)
 
 
-def _candidates(threshold: float, exact: bool, sure: float, only=None):
+def _candidates(threshold: float, exact: bool, sure: float, only=None, loose: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def ready() -> pa.RecordBatch:
-            a, b, label = _bucket_pairs(held, threshold, exact, sure) if only is None else _pairs_with(held, threshold, exact, only.value)
+            a, b, label = _bucket_pairs(held, threshold, exact, sure, loose) if only is None else _pairs_with(held, threshold, exact, only.value)
             none = label == np.iinfo(np.int64).min
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), bucket), pa.int32()), pa.array(label, mask=none)], ["a", "b", "bucket", "united"])
 
@@ -396,42 +410,47 @@ def _candidates(threshold: float, exact: bool, sure: float, only=None):
 
 
 def _grams(n: int, held):
+    """32 bits of each feature, and of how many they equal those of another one of the set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if held is not None:
                 batch = batch.filter(pa.array(may_hold(held.value, batch.column(0).to_numpy())))
             for ids, texts in _parts(batch):
                 gram, first = _sets(texts, n)
-                values = pa.array((gram >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                grams = pa.ListArray.from_arrays(pa.array(first, pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([ids, grams], ["doc_id", "grams"])
+                high = (gram >> np.uint64(32)).astype(np.uint32)
+                same = np.concatenate(([0], np.cumsum(high[1:] == high[:-1]), [0])) if len(high) else np.zeros(2, np.int64)
+                last = np.maximum(first[1:] - 1, first[:-1])
+                grams = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(high.view(np.int32)))
+                found = pa.RecordBatch.from_arrays([ids, grams, pa.array((same[last] - same[first[:-1]]).astype(np.int32))], ["doc_id", "grams", "alike"])
+                yield found.filter(pa.array(np.diff(first) > 0))
 
     return run
 
 
-def candidate_pairs(docs: DataFrame, n: int, threshold: float, exact: bool, sure: float, held, parts: int, drop=None, only=None, signs=None) -> DataFrame:
+def candidate_pairs(docs: DataFrame, n: int, threshold: float, exact: bool, sure: float, held, parts: int, drop=None, only=None, signs=None, loose: bool = False) -> DataFrame:
     """Pairs (a, b) of ids with a shared signature, bucket, and united, the group in the bucket of those taken to be similar."""
     return (
         docs.mapInArrow(_signed(n, threshold, parts * 2, held, drop, signs), "bucket int, " + ", ".join(f"{x} binary" for x in _PACKED))
         .repartitionById(parts, "bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(_candidates(threshold, exact, sure, only), "a bigint, b bigint, bucket int, united bigint")
+        .mapInArrow(_candidates(threshold, exact, sure, only, loose), "a bigint, b bigint, bucket int, united bigint")
     )
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Those of distinct, saved pairs whose similarity reaches the threshold."""
+    """Those of distinct, saved pairs whose similarity reaches the threshold, and very few that 32 bits don't tell from them."""
     ids = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
     words = id_filter(ids)
     held = None if words is None else docs.sparkSession.sparkContext.broadcast(words)
-    sets = docs.mapInArrow(_grams(n, held), "doc_id bigint, grams array<int>")
+    sets = docs.mapInArrow(_grams(n, held), "doc_id bigint, grams array<int>, alike int")
     if held is None:
         sets = join_narrow(sets, ids, "doc_id", "inner", 16)
     sets = saved(sets, "sets")
-    a = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"))
+    a = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x"), F.col("alike").alias("p"))
+    b = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"), F.col("alike").alias("q"))
     both = pairs.join(b, "b").join(a.hint("shuffle_hash"), "a")
-    common = F.size(F.array_intersect("x", "y"))
+    common = F.size(F.array_intersect("x", "y")) + F.least("p", "q")  # which has what is alike once only
     return (
         both.withColumn("common", common)
         .where(F.col("common") >= threshold * (F.size("x") + F.size("y") - F.col("common")) - EPS)
@@ -453,9 +472,11 @@ def _signs(n: int, threshold: float, held, only):
     return run
 
 
-def linked(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, exact: bool = False, sure: float = SURE, without: DataFrame | None = None) -> DataFrame:
+def linked(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, exact: bool = False, sure: float = SURE, without: DataFrame | None = None, loose: bool = False) -> DataFrame:
     """(node, root) of each document that is linked with one of a smaller id, root the smallest, by similar pairs.
 
+    loose: by those too that are only taken to be similar, so that a group may be several, but no link leaves it.
+
     docs: doc_id, text, without null ids; without: a saved table of ids that are left out, which is sent to the tasks
     where it isn't more than FILTER_BYTES.
     """
@@ -468,7 +489,10 @@ def linked(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, exact: boo
     held = sc.broadcast(levels(docs, n, threshold, drop))
     # signatures have 6 bytes for 0.8 of the words, and 37 for each bucket of a document; the files about 3 bytes a word
     parts = max(int(size * 2 / BUCKET_BYTES) + 1, sc.defaultParallelism)
-    rows = saved(candidate_pairs(docs, n, threshold, exact, sure, held, parts, drop), "candidates")
+    rows = saved(candidate_pairs(docs, n, threshold, exact, sure, held, parts, drop, loose=loose), "candidates")
+    if loose:
+        asked = saved(rows.where("united IS NULL").select("a", "b").distinct(), "pairs")
+        return closed(_verified(docs, asked, n, threshold).union(rows.where("united IS NOT NULL").select("a", "b")))
     found = saved(_verified(docs, saved(rows.select("a", "b").distinct(), "pairs"), n, threshold), "similar")
     roots = saved(closed(found), "roots")
     again = saved(_parted(rows.where("united IS NOT NULL"), roots), "again")
@@ -527,13 +551,193 @@ def equal_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, rep) of each document with the text of another one of smaller id, rep the smallest; saved.
 
     Texts are told apart by two hashes of together 192 bits, and those without a word are equal to nothing. An id of
-    several rows stays, since it may have several texts. Ids are aggregated before they are shuffled.
+    several rows neither goes nor stands for others, since it may have several texts. Ids are aggregated before they are
+    shuffled.
     """
-    keyed = docs.where(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")).select("doc_id", F.unhex(F.md5("text")).alias("h"), F.xxhash64("text").alias("g"))
+    several = saved(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "several")
+    keyed = docs if several.isEmpty() else without_ids(docs, several)
+    keyed = keyed.where(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")).select("doc_id", F.unhex(F.md5("text")).alias("h"), F.xxhash64("text").alias("g"))
     firsts = keyed.groupBy("h", "g").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
-    equal = join_narrow(keyed, saved(firsts, "firsts"), ["h", "g"], "inner", 48).where("doc_id > rep").select("doc_id", "rep")
-    several = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    return saved(equal.join(several, "doc_id", "left_anti"), "equal")
+    return saved(join_narrow(keyed, saved(firsts, "firsts"), ["h", "g"], "inner", 48).where("doc_id > rep").select("doc_id", "rep"), "equal")
+
+
+def _common(gram: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many features each of the sets left has in common with each other one of the sets right; not with itself.
+
+    What few sets have is counted pair by pair, the rest by matrix products.
+    """
+    rows = len(first) - 1
+    column, count = np.unique(gram, return_inverse=True, return_counts=True)[1:]
+    row = np.repeat(np.arange(rows), np.diff(first))
+    want = count[column] > 1
+    column, row = column[want], row[want]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    rare = count[column] * 14 < rows
+    at = np.full((2, rows), -1)
+    at[0, left], at[1, right] = np.arange(len(left)), np.arange(len(right))
+    out = np.zeros((len(left), len(right)))
+    flat = out.reshape(-1)
+    x, y = rare & (at[0, row] >= 0), rare & (at[1, row] >= 0)
+    x_row, x_column, y_row, y_column = at[0, row[x]], column[x], at[1, row[y]], column[y]
+    begin = np.searchsorted(y_column, x_column)
+    length = np.searchsorted(y_column, x_column, "right") - begin
+    ends, lo = np.cumsum(length), 0
+    while lo < len(x_row):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BLOCK, "right")))
+        n = length[lo:hi]
+        np.add.at(flat, np.repeat(x_row[lo:hi], n) * len(right) + y_row[np.repeat(begin[lo:hi], n) + X.spans(n)], 1.0)
+        lo = hi
+    column, row = column[~rare], row[~rare]
+    column = np.cumsum(np.diff(column, prepend=column[:1]) != 0)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (lo, lo + COLUMNS))
+        has = np.zeros((rows, int(column[b - 1]) + 1 - lo), np.float32)
+        has[row[a:b], column[a:b] - lo] = 1
+        out += has[left] @ has[right].T
+    return out
+
+
+def _block_links(ids: np.ndarray, copies: np.ndarray, right: np.ndarray, gram: np.ndarray, first: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """Ids, the smallest that each is linked to here, and the number of its links; of one block, or between that and right."""
+    order = np.argsort(ids, kind="stable")
+    two = bool(right.any()) and not right.all()
+    a = order[~right[order]] if two else order
+    b = order[right[order]] if two else order
+    size, common = np.diff(first), _common(gram, first, a, b)
+    similar = common >= threshold * (size[a][:, None] + size[b] - common) - EPS
+    del common
+    head_a, head_b = (np.flatnonzero(np.diff(ids[x], prepend=ids[x[0]] - 1)) for x in (a, b))
+    if len(head_a) < len(a):
+        similar = np.logical_or.reduceat(similar, head_a, axis=0)
+    if len(head_b) < len(b):
+        similar = np.logical_or.reduceat(similar, head_b, axis=1)
+    a, b = a[head_a], b[head_b]
+    if not two:
+        np.fill_diagonal(similar, False)
+    x, y = np.nonzero(similar)
+    own = ids[np.concatenate((a, b))] if two else ids[a]
+    n = np.bincount(x, copies[b][y], len(a))
+    if two:
+        y = y + len(a)
+        n = np.concatenate((n, np.bincount(y - len(a), copies[a][x], len(b))))
+    rank = np.argsort(own)
+    place = np.empty(len(own), np.int64)
+    place[rank] = np.arange(len(own))
+    p = np.arange(len(own))
+    _unite(p, place[x], place[y])
+    return own, own[rank][_found(p, place)], n.astype(np.int64)
+
+
+def _blocks(n: int):
+    """The set of each text of batches(doc_id, text, root, copies, blocks), for all the pairs of blocks of its group that it is in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lo = 0
+            for ids, texts in _parts(batch.select(["doc_id", "text"])):
+                root, copies, blocks = (batch.column(c).slice(lo, len(ids)).to_numpy() for c in ("root", "copies", "blocks"))
+                lo += len(ids)
+                gram, first = _sets(texts, n)
+                row = np.flatnonzero(np.diff(first) > 0)
+                row, k = np.repeat(row, blocks[row]), X.spans(blocks[row])
+                id_ = ids.to_numpy()[row]
+                own = (X.mix(id_.view(np.uint64) + X.COEF[207]) % blocks[row].astype(np.uint64)).astype(np.int64)
+                for at in range(0, len(row), ROWS):
+                    r, o, other = row[at : at + ROWS], own[at : at + ROWS], k[at : at + ROWS]
+                    sets = pa.array([gram[first[x] : first[x + 1]].tobytes() for x in r.tolist()], pa.binary())
+                    columns = [root[r], np.minimum(o, other).astype(np.int32), np.maximum(o, other).astype(np.int32), id_[at : at + ROWS], copies[r]]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(o > other), sets], ["root", "i", "j", "doc_id", "copies", "later", "grams"])
+
+    return run
+
+
+def _compared_blocks(threshold: float):
+    """The links within batches(root, i, j, doc_id, copies, later, grams), sorted by root, i, j."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple[np.ndarray, ...]] = []
+
+        def close() -> None:
+            if len(held) > 1 and (key[1] == key[2] or len({x[2] for x in held}) > 1):
+                gram = np.frombuffer(b"".join(x[3] for x in held), np.uint64)
+                first = np.cumsum([0, *(len(x[3]) // 8 for x in held)])
+                ids, copies, later = (np.array([x[i] for x in held], t) for i, t in enumerate((np.int64, np.int64, bool)))
+                done.append(_block_links(ids, copies, later, gram, first, threshold))
+            held.clear()
+
+        def ready() -> pa.RecordBatch:
+            columns = [np.concatenate(x) for x in zip(*done, strict=True)]
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "n"])
+
+        key, held = None, []
+        for batch in batches:
+            for *at, id_, copies, later, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != key:
+                    close()
+                    key = at
+                held.append((id_, copies, later, grams))
+            if done:
+                yield ready()
+        close()
+        if done:
+            yield ready()
+
+    return run
+
+
+def _holding(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(held.value, batch.column(0).to_numpy())))
+
+    return run
+
+
+def _linked_within(docs: DataFrame, roots: DataFrame, copies: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a, b, n), saved: documents, another one that each is linked with by what was compared, or itself, and its links there.
+
+    roots(node, root): groups within which all links are; copies(doc_id, copies): for how many a document stands.
+    """
+    members = roots.select(F.col("node").alias("doc_id"), "root").union(roots.select("root", "root").distinct())
+    members = saved(members.join(copies, "doc_id", "left").withColumn("copies", F.coalesce("copies", F.lit(1).cast("bigint"))), "members")
+    words = id_filter(members.select("doc_id"))
+    if words is not None:
+        docs = docs.mapInArrow(_holding(docs.sparkSession.sparkContext.broadcast(words)), "doc_id bigint, text string")
+    # a group of many or long texts is compared in pairs of blocks
+    sizes = join_narrow(docs.select("doc_id", F.octet_length("text").alias("bytes")), members, "doc_id", "inner")
+    blocks = F.greatest(F.lit(1), F.ceil(F.count("*") / GROUP_DOCS), F.ceil(F.sum("bytes") / GROUP_BYTES)).cast("int")
+    sizes = saved(sizes.groupBy("root").agg(blocks.alias("blocks"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")), "blocks")
+    sent = sizes.agg(F.sum(F.col("bytes") * F.col("blocks"))).first()[0] or 0
+    parts = max(int(sent * 2 / BUCKET_BYTES) + 1, docs.sparkSession.sparkContext.defaultParallelism)
+    cut = saved(members.join(sizes.select("root", "blocks"), "root"), "cut").select("doc_id", "root", "copies", "blocks")
+    sets = join_narrow(docs, cut, "doc_id", "inner").select("doc_id", "text", "root", "copies", "blocks")
+    sets = sets.mapInArrow(_blocks(n), "root bigint, i int, j int, doc_id bigint, copies bigint, later boolean, grams binary")
+    at = ["root", "i", "j"]
+    return saved(sets.repartition(parts, *at).sortWithinPartitions(*at).mapInArrow(_compared_blocks(threshold), "a bigint, b bigint, n bigint"), "links")
+
+
+def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text", exact: bool = False) -> DataFrame:
+    """(doc_id, group_id, n_links), a row for each document: its group, and with how many others its similarity reaches threshold.
+
+    Copies count too, each as one. group_id is the smallest doc_id that is linked with it, over others or not, or its own.
+    Groups are found by near_copies()' ways; within them all different texts are compared by their whole sets. Cases: see
+    near_copies().
+    """
+    own = with_long_id(docs, doc_id, text).where("doc_id IS NOT NULL")
+    equal = equal_texts(own)
+    copies = saved(equal.groupBy(F.col("rep").alias("doc_id")).agg((F.count("*") + 1).alias("copies")), "copies")
+    roots = saved(linked(own, n, threshold, exact, without=equal.select("doc_id"), loose=True), "roots")
+    found = _linked_within(own, roots, copies, n, threshold)
+    each = found.groupBy(F.col("a").alias("doc_id")).agg(F.sum("n").alias("n")).join(closed(found).toDF("doc_id", "root"), "doc_id", "left")
+    each = each.join(copies, "doc_id", "full").select(
+        F.col("doc_id").alias("rep"), "root", (F.coalesce("n", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links")
+    )
+    placed = own.select("doc_id").distinct().join(equal, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    return placed.join(saved(each, "each"), "rep", "left").select(
+        "doc_id", F.coalesce("root", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")
+    )
 
 
 def near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text", exact: bool = False) -> DataFrame:
@@ -546,7 +750,8 @@ def near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, doc_i
     task has to hold, with about 80 bytes for each of its words.
 
     A pair is ruled out by sketches only if they differ by SPREAD standard deviations more than those of a pair
-    just at the threshold: 1 of 10**9 such pairs. exact: only by what no similar pair can have, so that very many more
+    just at the threshold: by the binomial distribution less than 1 of 10**9 such pairs, and none of sets of together
+    fewer than some 330 features, of which the sketch can't differ so much. exact: only by what no similar pair can have, so that very many more
     pairs are compared.
     """
     own = with_long_id(docs, doc_id, text).where("doc_id IS NOT NULL")
@@ -558,11 +763,8 @@ def near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, doc_i
 
 def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text", exact: bool = False) -> DataFrame:
     """A row for each group: group_id, doc_ids (sorted, the first is group_id), n_docs. Cases: see near_copies()."""
-    rest = near_copies(docs, n, threshold, doc_id, text, exact)
-    return rest.groupBy("group_id").agg(
-        F.array_insert(F.sort_array(F.collect_list("doc_id")), 1, F.col("group_id")).alias("doc_ids"),
-        (F.count("*") + 1).alias("n_docs"),
-    )
+    found = links(docs, n, threshold, doc_id, text, exact).where("n_links > 0")
+    return found.groupBy("group_id").agg(F.sort_array(F.collect_list("doc_id")).alias("doc_ids"), F.count("*").alias("n_docs"))
 
 
 def without_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -572,7 +774,7 @@ def without_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) ->
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(read(spark, sf_dir, "documents"))
+    return links(read(spark, sf_dir, "documents"))
 
 
 SQL = f"""
@@ -588,5 +790,7 @@ edges AS MATERIALIZED (
 ),
 reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
 roots AS (SELECT a AS doc_id, min(b) AS group_id FROM (SELECT * FROM reach UNION SELECT a, a FROM edges) GROUP BY a)
-SELECT group_id, list(doc_id ORDER BY doc_id) AS doc_ids, count(*) AS n_docs FROM roots GROUP BY group_id
+SELECT doc_id, coalesce(group_id, doc_id) AS group_id, coalesce(n, 0) AS n_links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+LEFT JOIN roots USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n FROM edges GROUP BY a) USING (doc_id)
 """

@@ -1,3 +1,4 @@
+import math
 import random
 from itertools import combinations
 
@@ -78,6 +79,80 @@ def test_similar_sets_share_a_signature(threshold):
             assert set(sign[row == 0].tolist()) & set(sign[row == 1].tolist()), (size, len(x), len(y))
 
 
+def degrees(rows, n=J.N, threshold=J.THRESHOLD):
+    """Of every id: its group's smallest, and with how many others it is similar in any of its texts."""
+    near = {i: set() for i, _ in rows if i is not None}
+    sets = [(i, grams(t, n)) for i, t in rows if i is not None]
+    for (i, a), (j, b) in combinations(sets, 2):
+        if i != j and a and len(a & b) >= threshold * len(a | b) - 1e-9:
+            near[i].add(j)
+            near[j].add(i)
+    least = {i: g[0] for g in brute(rows, n, threshold) for i in g}
+    return {(i, least.get(i, i), len(s)) for i, s in near.items()}
+
+
+def counted(spark, rows, n=J.N, threshold=J.THRESHOLD):
+    found = [(r.doc_id, r.group_id, r.n_links) for r in J.links(frame(spark, rows), n, threshold).collect()]
+    assert len(found) == len(set(found))
+    return set(found)
+
+
+@pytest.mark.parametrize("seed,n,threshold", [(21, 2, 0.65), (22, 3, 0.5)])
+def test_every_link_counts(spark, seed, n, threshold):
+    """Groups of near copies that aren't all alike, with equal texts, and ids of several texts; a group alone doesn't tell its links."""
+    rows = corpus(random.Random(seed), 150)
+    rows += [(1000 + i, t) for i, t in rows[::7]] + [(i, t) for (i, _), (_, t) in zip(rows[::11], rows[5::11])]
+    want = degrees(rows, n, threshold)
+    assert counted(spark, rows, n, threshold) == want
+    size = {g: sum(x[1] == g for x in want) for _, g, _ in want}
+    assert any(0 < links < size[g] - 1 for _, g, links in want)
+
+
+def test_links_of_awkward_texts_and_of_none(spark):
+    assert counted(spark, AWKWARD) == degrees(AWKWARD) and counted(spark, []) == set()
+    rows = [(1, "a b c"), (2, "a b c"), (2, "x y z u v w"), (3, "x y z u v w"), (4, "a b c"), (5, ""), (5, "q r s"), (6, ""), (6, "q r s t")]
+    assert counted(spark, rows) == degrees(rows)
+
+
+def test_links_of_large_groups_are_compared_in_blocks(spark, monkeypatch):
+    rng = random.Random(23)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rng.randint(1, 25)):
+            w[rng.randrange(120)] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    want = degrees(rows)
+    assert counted(spark, rows) == want and any(0 < links < 250 for *_, links in want)
+    monkeypatch.setattr(J, "GROUP_DOCS", 30)
+    assert counted(spark, rows) == want
+
+
+def test_sketches_leave_out_no_similar_pair():
+    """Of pairs just at the threshold less than 1 of 10**9 has sketches that differ by more; of 6 standard deviations, 1 of 10**8 had."""
+    size = np.array([1000])
+    a = np.zeros((1, 3), np.uint64)
+    expected = J.SKETCH * (1 - J.THRESHOLD) / 2
+    chance = [math.comb(J.SKETCH, k) * (p := (1 - J.THRESHOLD) / 2) ** k * (1 - p) ** (J.SKETCH - k) for k in range(J.SKETCH + 1)]
+    for bits in range(int(expected), J.SKETCH + 1):
+        b = np.packbits(np.arange(J.SKETCH) < bits).view(np.uint64)[None]
+        if not J._compared(a, b, size, size, J.THRESHOLD, False)[0][0]:
+            assert sum(chance[bits:]) < 1e-9
+            break
+
+
+def test_common_counts_rare_and_frequent_features():
+    rng = np.random.default_rng(24)
+    sets = [np.unique(np.concatenate((rng.choice(40, 20), 1000 + rng.choice(3000, 30)))).astype(np.uint64) for _ in range(90)]
+    first = np.cumsum([0, *map(len, sets)])
+    a, b = np.arange(0, 50), np.arange(50, 90)
+    for left, right in ((a, b), (np.arange(90), np.arange(90))):
+        got = J._common(np.concatenate(sets), first, left, right)
+        want = np.array([[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left])
+        assert (got == want)[left[:, None] != right].all()
+
+
 def test_awkward(spark):
     assert run(spark, AWKWARD) == brute(AWKWARD, J.N, J.THRESHOLD) == {(4, 5)}
 
