@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -19,6 +21,13 @@ from . import _text as X
 
 FILTER_BYTES = 32 << 20  # of a Bloom filter that is sent to all tasks, at most
 FILTER_BITS = 12  # for an id
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # of a job's shuffle files as soon as it ends
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # not glibc
+    _trim = None
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,6 +72,30 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def sparing(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run meanwhile send at most rows rows at once to Python, and leave no shuffle files behind."""
+    was = {k: spark.conf.get(k, None) for k in (BATCH_ROWS, CLEAN_UP)}
+    least = int(was[BATCH_ROWS] or 0)
+    spark.conf.set(BATCH_ROWS, str(min(rows, least) if least > 0 else rows))
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        for k, value in was.items():
+            if value is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, value)
+
+
+def give_back() -> None:
+    """Returns memory that a Python worker doesn't use any more to the system; else idle workers keep it."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def _bytes_limit(spark: SparkSession) -> int:
     value = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").strip().lower()
     units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}

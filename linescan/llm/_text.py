@@ -28,7 +28,7 @@ _pow = np.ones(1, np.uint64), np.ones(1, np.uint64)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow
     if len(_pow[0]) < n:
-        size = max(n, 2 * CHUNK)
+        size = max(n, 2 * CHUNK if n > CHUNK else CHUNK)
         grown = []
         for base in (_BASE, _BASE_INV):
             p = np.full(size, base)

@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._spark import FILTER_BYTES, file_bytes, id_filter, join_narrow, may_hold, read, saved, with_long_id, without_ids
+from ._spark import FILTER_BYTES, file_bytes, give_back, id_filter, join_narrow, may_hold, read, saved, sparing, with_long_id, without_ids
 
 N = 2
 THRESHOLD = 0.65
 PARTS = 1.2  # for each feature of the largest set of a band
 WHOLE = 5  # up to this band every feature is a part
 BLOCK = 1 << 20  # pairs of sketches at once
-BUCKET_BYTES = 64 << 20  # of signatures in a task
+BUCKET_BYTES = 32 << 20  # of signatures in a bucket, which is a task
 SKETCH = 192
 FEW = 128  # bits of sketches of which at least one is of a small set
 SMALL = 32
@@ -48,8 +48,9 @@ GROUP_BYTES = 8 << 20  # of their texts
 COLUMNS = 1024  # features of a matrix product
 COUNT_BITS = 22  # of a hash, that choose one of the counters of the corpus
 COUNT_BLOCK = 16
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 ROWS = 1024
+PACKED_ROWS = 1 << 18  # signatures that are packed at once
 EPS = 1e-9
 
 
@@ -145,7 +146,7 @@ def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
         texts = X.text_array(part.column(1))
         for lo, hi in X.chunks(texts, CHUNK):
             yield part.column(0).slice(lo, hi - lo), texts.slice(lo, hi - lo)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _counted(n: int, threshold: float, drop):
@@ -190,8 +191,9 @@ def levels(docs: DataFrame, n: int, threshold: float, drop=None) -> np.ndarray:
     parts = min(1 << (COUNT_BITS - COUNT_BLOCK), docs.sparkSession.sparkContext.defaultParallelism)
     rows = counts.repartitionById(parts, F.col("block") % parts).sortWithinPartitions("block").mapInArrow(_summed, "block int, level binary")
     out = np.zeros((1 << (COUNT_BITS - COUNT_BLOCK), 1 << COUNT_BLOCK), np.uint8)
-    for r in rows.toLocalIterator():
-        out[r.block] = np.frombuffer(bytes(r.level), np.uint8)
+    found = rows.toArrow()  # at once: shuffle files may be gone after the job
+    for block, level in zip(found["block"].to_pylist(), found["level"], strict=True):
+        out[block] = np.frombuffer(level.as_py(), np.uint8)
     return out.reshape(-1)
 
 
@@ -239,7 +241,28 @@ def _signed(n: int, threshold: float, parts: int, held, drop=None, only=None):
     of the signatures that are.
     """
 
+    def packed(ids: np.ndarray, size: np.ndarray, sketch: np.ndarray, row: np.ndarray, sign: np.ndarray) -> pa.RecordBatch:
+        sign = X.mix(sign)
+        bucket = (sign % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((row, bucket))
+        row, sign, bucket = row[order], sign[order], bucket[order]
+        head = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
+        length = np.diff(np.append(head, len(row)))
+        pieces = -(-length // 255)  # a document with more in a bucket is there several times
+        count = np.full(pieces.sum(), 255)
+        count[np.cumsum(pieces) - 1] = length - 255 * (pieces - 1)
+        doc, of = np.repeat(row[head], pieces), np.repeat(bucket[head], pieces)
+        edge = np.flatnonzero(np.diff(of, prepend=-1, append=-1))
+        to = np.concatenate(([0], np.cumsum(count)))[edge]
+        columns = [ids[doc], size[doc].astype(np.int32), count.astype(np.uint8), sketch[doc]]
+        out = [[c[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)] for c in columns]
+        for part in ((sign & np.uint64(0xFFFFFFFF)).astype(np.uint32), (sign >> np.uint64(32)).astype(np.uint16)):
+            out.append([part[a:b].tobytes() for a, b in zip(to[:-1], to[1:], strict=True)])
+        return pa.RecordBatch.from_arrays([pa.array(of[edge[:-1]], pa.int32()), *(pa.array(c, pa.binary()) for c in out)], ["bucket", *_PACKED])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple[np.ndarray, ...]] = []  # of several parts, so that there are fewer and longer packed rows
+        rows = signs = 0
         for batch in batches:
             for ids, texts in _parts(_without(batch, drop)):
                 gram, first = _sets(texts, n)
@@ -249,24 +272,14 @@ def _signed(n: int, threshold: float, parts: int, held, drop=None, only=None):
                     row, sign = row[want], sign[want]
                 if not len(row):
                     continue
-                sign = X.mix(sign)
-                bucket = (sign % np.uint64(parts)).astype(np.int64)
-                order = np.lexsort((row, bucket))
-                row, sign, bucket = row[order], sign[order], bucket[order]
-                size, sketch = np.diff(first), _sketches(gram, first)
-                head = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
-                length = np.diff(np.append(head, len(row)))
-                pieces = -(-length // 255)  # a document with more in a bucket is there several times
-                count = np.full(pieces.sum(), 255)
-                count[np.cumsum(pieces) - 1] = length - 255 * (pieces - 1)
-                doc, of = np.repeat(row[head], pieces), np.repeat(bucket[head], pieces)
-                edge = np.flatnonzero(np.diff(of, prepend=-1, append=-1))
-                to = np.concatenate(([0], np.cumsum(count)))[edge]
-                columns = [ids.to_numpy()[doc], size[doc].astype(np.int32), count.astype(np.uint8), sketch[doc]]
-                packed = [[c[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)] for c in columns]
-                for part in ((sign & np.uint64(0xFFFFFFFF)).astype(np.uint32), (sign >> np.uint64(32)).astype(np.uint16)):
-                    packed.append([part[a:b].tobytes() for a, b in zip(to[:-1], to[1:], strict=True)])
-                yield pa.RecordBatch.from_arrays([pa.array(of[edge[:-1]], pa.int32()), *(pa.array(c, pa.binary()) for c in packed)], ["bucket", *_PACKED])
+                done.append((ids.to_numpy(), np.diff(first), _sketches(gram, first), row + rows, sign))
+                rows, signs = rows + len(ids), signs + len(row)
+                if signs >= PACKED_ROWS:
+                    yield packed(*map(np.concatenate, zip(*done, strict=True)))
+                    done.clear()
+                    rows = signs = 0
+        if done:
+            yield packed(*map(np.concatenate, zip(*done, strict=True)))
 
     return run
 
@@ -393,6 +406,7 @@ def _candidates(threshold: float, exact: bool, sure: float, only=None, loose: bo
         def ready() -> pa.RecordBatch:
             a, b, label = _bucket_pairs(held, threshold, exact, sure, loose) if only is None else _pairs_with(held, threshold, exact, only.value)
             none = label == np.iinfo(np.int64).min
+            give_back()
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), bucket), pa.int32()), pa.array(label, mask=none)], ["a", "b", "bucket", "united"])
 
         bucket, held = None, []
@@ -431,9 +445,8 @@ def _grams(n: int, held):
 def candidate_pairs(docs: DataFrame, n: int, threshold: float, exact: bool, sure: float, held, parts: int, drop=None, only=None, signs=None, loose: bool = False) -> DataFrame:
     """Pairs (a, b) of ids with a shared signature, bucket, and united, the group in the bucket of those taken to be similar."""
     return (
-        docs.mapInArrow(_signed(n, threshold, parts * 2, held, drop, signs), "bucket int, " + ", ".join(f"{x} binary" for x in _PACKED))
+        docs.mapInArrow(_signed(n, threshold, parts, held, drop, signs), "bucket int, " + ", ".join(f"{x} binary" for x in _PACKED))
         .repartitionById(parts, "bucket")
-        .sortWithinPartitions("bucket")
         .mapInArrow(_candidates(threshold, exact, sure, only, loose), "a bigint, b bigint, bucket int, united bigint")
     )
 
@@ -488,7 +501,7 @@ def linked(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, exact: boo
             docs = without_ids(docs, without)
     held = sc.broadcast(levels(docs, n, threshold, drop))
     # signatures have 6 bytes for 0.8 of the words, and 37 for each bucket of a document; the files about 3 bytes a word
-    parts = max(int(size * 2 / BUCKET_BYTES) + 1, sc.defaultParallelism)
+    parts = max(int(size * 2 / BUCKET_BYTES) + 1, sc.defaultParallelism * 2)
     rows = saved(candidate_pairs(docs, n, threshold, exact, sure, held, parts, drop, loose=loose), "candidates")
     if loose:
         asked = saved(rows.where("united IS NULL").select("a", "b").distinct(), "pairs")
@@ -669,6 +682,7 @@ def _compared_blocks(threshold: float):
         def ready() -> pa.RecordBatch:
             columns = [np.concatenate(x) for x in zip(*done, strict=True)]
             done.clear()
+            give_back()
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "n"])
 
         key, held = None, []
@@ -726,16 +740,18 @@ def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, doc_id: str
     near_copies().
     """
     own = with_long_id(docs, doc_id, text).where("doc_id IS NOT NULL")
-    equal = equal_texts(own)
-    copies = saved(equal.groupBy(F.col("rep").alias("doc_id")).agg((F.count("*") + 1).alias("copies")), "copies")
-    roots = saved(linked(own, n, threshold, exact, without=equal.select("doc_id"), loose=True), "roots")
-    found = _linked_within(own, roots, copies, n, threshold)
-    each = found.groupBy(F.col("a").alias("doc_id")).agg(F.sum("n").alias("n")).join(closed(found).toDF("doc_id", "root"), "doc_id", "left")
-    each = each.join(copies, "doc_id", "full").select(
-        F.col("doc_id").alias("rep"), "root", (F.coalesce("n", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links")
-    )
+    with sparing(docs.sparkSession, ROWS):
+        equal = equal_texts(own)
+        copies = saved(equal.groupBy(F.col("rep").alias("doc_id")).agg((F.count("*") + 1).alias("copies")), "copies")
+        roots = saved(linked(own, n, threshold, exact, without=equal.select("doc_id"), loose=True), "roots")
+        found = _linked_within(own, roots, copies, n, threshold)
+        each = found.groupBy(F.col("a").alias("doc_id")).agg(F.sum("n").alias("n")).join(closed(found).toDF("doc_id", "root"), "doc_id", "left")
+        each = each.join(copies, "doc_id", "full").select(
+            F.col("doc_id").alias("rep"), "root", (F.coalesce("n", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links")
+        )
+        each = saved(each, "each")
     placed = own.select("doc_id").distinct().join(equal, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    return placed.join(saved(each, "each"), "rep", "left").select(
+    return placed.join(each, "rep", "left").select(
         "doc_id", F.coalesce("root", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")
     )
 
@@ -755,8 +771,9 @@ def near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, doc_i
     pairs are compared.
     """
     own = with_long_id(docs, doc_id, text).where("doc_id IS NOT NULL")
-    equal = equal_texts(own)
-    roots = saved(linked(own, n, threshold, exact, without=equal.select("doc_id")).toDF("rep", "root"), "roots")
+    with sparing(docs.sparkSession, ROWS):
+        equal = equal_texts(own)
+        roots = saved(linked(own, n, threshold, exact, without=equal.select("doc_id")).toDF("rep", "root"), "roots")
     copies = join_narrow(equal, roots, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("group_id"))
     return roots.toDF("doc_id", "group_id").union(copies)
 

@@ -1,11 +1,15 @@
 import math
 import random
+import time
+import tracemalloc
 from itertools import combinations
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from linescan.llm import _spark as S
 from linescan.llm import _text as X
 from linescan.llm import ngram_join as J
 from tests.llm.cases import AWKWARD, LONG, frame, words
@@ -307,3 +311,78 @@ def test_closed_long_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in J.closed(pairs, local=0).collect()}
     assert got == {r.node: r.root for r in J.closed(pairs).collect()} == {**{i: 0 for i in range(1, 201)}, 501: 500}
+
+
+def test_a_task_holds_few_texts_at_once(monkeypatch):
+    """With 2 MB of text at once the arrays of a worker took 93 MB here, and two of them and their JVM more than an executor has."""
+    rng = random.Random(31)
+    texts = [" ".join(f"w{rng.randrange(9000)}" for _ in range(400)) for _ in range(3000)]
+    batch = pa.record_batch([pa.array(range(3000), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    monkeypatch.setattr(X, "_pow", (np.ones(1, np.uint64), np.ones(1, np.uint64)))
+    tracemalloc.start()
+    for _ in J._counted(J.N, J.THRESHOLD, None)(iter([batch])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+
+
+def test_packed_rows_hold_what_every_text_signs():
+    """However many texts are packed at once; those of several batches too."""
+    rows = corpus(random.Random(32), 300)
+    level = np.zeros(1 << J.COUNT_BITS, np.uint8)
+    batches = [pa.record_batch([pa.array([i for i, _ in r], pa.int64()), pa.array([t for _, t in r])], ["doc_id", "text"]) for r in (rows[:120], rows[120:])]
+    gram, first = J._sets(X.text_array(pa.array([t for _, t in rows])), J.N)
+    row, sign = J._signatures(gram, first, J.THRESHOLD, level)
+    want = {(rows[r][0], s & (1 << 48) - 1) for r, s in zip(row.tolist(), X.mix(sign).tolist(), strict=True)}
+    for most in (1, J.PACKED_ROWS):
+        got = set()
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(J, "PACKED_ROWS", most)
+            for out in J._signed(J.N, J.THRESHOLD, 5, SimpleNamespace(value=level))(iter(batches)):
+                for _, docs, sizes, counts, sketches, low, high in zip(*(c.to_pylist() for c in out.columns), strict=True):
+                    docs, counts = np.frombuffer(docs, np.int64), np.frombuffer(counts, np.uint8)
+                    assert np.array_equal(np.frombuffer(sizes, np.int32), np.diff(first)[docs])
+                    assert np.array_equal(np.frombuffer(sketches, np.uint64).reshape(-1, J.SKETCH // 64), J._sketches(gram, first)[docs])
+                    signs = np.frombuffer(low, np.uint32).astype(np.uint64) | np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32)
+                    got |= set(zip(np.repeat(docs, counts).tolist(), signs.tolist(), strict=True))
+        assert got == want
+
+
+def test_jobs_send_few_rows_at_once_and_settings_come_back(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    most = lambda: max(r.n for r in spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long").collect())
+    before = {k: spark.conf.get(k, None) for k in (S.BATCH_ROWS, S.CLEAN_UP)}
+    with pytest.raises(ZeroDivisionError), S.sparing(spark, 100):
+        assert most() == 100
+        with S.sparing(spark, 200):
+            assert most() == 100
+        raise ZeroDivisionError
+    assert {k: spark.conf.get(k, None) for k in before} == before and most() == 5000
+
+
+def test_what_was_shuffled_is_removed(spark):
+    """The shuffles of one job lay beside those of the next ones until the driver happened to collect its garbage."""
+
+    def shuffles():
+        names = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString(" ").split()
+        return {x for x in names if "/shuffle_" in x}
+
+    docs = frame(spark, corpus(random.Random(33), 100))
+    before = shuffles()
+    J.links(docs)
+    for _ in range(20):
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.5)
+    assert not left
+
+
+def test_closed_by_joins_without_old_shuffles(spark):
+    with S.sparing(spark, J.ROWS):
+        pairs = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 91)], "a long, b long").repartition(3)
+        got = {r.node: r.root for r in J.closed(pairs, local=0).collect()}
+    assert got == {**{i: 0 for i in range(1, 41)}, 91: 90}
